@@ -42,6 +42,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("kind").alias("rec_table"), F.col("key").alias("rec_id"), "piece", "start", "end", "piece_text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .knn import similar
+
+    rows = None
+    for name, vec in (("document_paragraphs", "embedding"), ("rag_documents", "embedding_base")):
+        one = table(spark, d, name).select(F.lit(name).alias("rec_table"), "id", F.col(vec).alias("v"))
+        rows = one if rows is None else rows.unionByName(one)
+    return similar(rows, "id", "v", "rec_table").select(F.col("kind").alias("rec_table"), "id_a", "id_b")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .pack import byte_tokens, pack
 
@@ -56,5 +66,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
