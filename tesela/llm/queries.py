@@ -16,6 +16,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return quality(rows, "id", "raw_content").filter("NOT is_prose").select("id").distinct()
 
 
+def _scan_records(spark: SparkSession, d: str) -> DataFrame:
+    from .common import records
+
+    return records(spark, d, "rag_documents", "content").unionByName(records(spark, d, "document_paragraphs", "raw_content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .neardup import near_duplicates, record_pairs
+
+    links, members = near_duplicates(_scan_records(spark, d), "rec_id", "text", "rec_table", similarity=0.6, n=3, least=20)
+    return record_pairs(links, members).withColumnRenamed("kind", "rec_table")
+
+
 #: The size limits of the tables in characters.
 LIMITS = {"rag_documents": 6000, "document_parent_chunks": 3500, "document_paragraphs": 1200}
 TEXTS = {"rag_documents": "content", "document_parent_chunks": "content", "document_paragraphs": "raw_content"}
@@ -42,6 +55,28 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("kind").alias("rec_table"), F.col("key").alias("rec_id"), "piece", "start", "end", "piece_text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .truncate import truncated_answers, truncated_copies
+
+    answers = table(spark, d, "query_evaluations").select(F.lit("query_evaluations").alias("kind"), "id", "answer_text")
+    contexts = table(spark, d, "document_paragraphs").select(F.lit("document_paragraphs").alias("kind"), "id", "contextualized_text", "raw_content")
+    found = truncated_answers(answers, "id", "answer_text").unionByName(truncated_copies(contexts, "id", "contextualized_text", "raw_content"))
+    return found.select(F.col("kind").alias("rec_table"), F.col("key").alias("rec_id"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut records per channel and per source of the documents."""
+    from .truncate import truncation_rates
+
+    found = p5_found(spark, d).withColumnRenamed("rec_id", "key")
+    answers = table(spark, d, "query_evaluations").select("id", "channel")
+    docs = table(spark, d, "rag_documents").select(F.col("id").alias("document_id"), F.col("metadata.fuente").alias("fuente"))
+    contexts = table(spark, d, "document_paragraphs").select("id", "document_id").join(docs, "document_id", "left")
+    a = truncation_rates(found.filter("rec_table = 'query_evaluations'"), answers, "id", "channel")
+    b = truncation_rates(found.filter("rec_table = 'document_paragraphs'"), contexts, "id", "fuente")
+    return a.select(F.lit("query_evaluations").alias("rec_table"), "*").unionByName(b.select(F.lit("document_paragraphs").alias("rec_table"), "*"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from .knn import similar
 
@@ -66,5 +101,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
