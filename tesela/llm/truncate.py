@@ -56,7 +56,6 @@ def look_at_end(text: str | None) -> tuple[str, str, str]:
     if _WHOLE_END.search(text) or _CITATION.search(text):
         return "whole", "", ""
     body = _MARK.sub("", text)
-    marked = body != text.rstrip() or text != text.rstrip()
     if not body:
         return "empty", "", ""
     words = re.findall(r"[^\W\d_]+|\d[\d.,]*", body[-200:])
@@ -65,12 +64,12 @@ def look_at_end(text: str | None) -> tuple[str, str, str]:
     tail = _SENTENCE.split(body)[-1] if body else ""
     quotes = body.count("“") > body.count("”") or body.count("«") > body.count("»")
     broken = text.rstrip().endswith("�") or re.search(r"[-\w,](?:\.\.\.|…)\s*\Z", text) is not None
-    if not (broken or marked) and _TERMINAL.search(text):
+    if not broken and _TERMINAL.search(text):
         return "whole", "", last
     ends_in_entry = bool(_ENTRY.match(lines[-1])) or (len(lines) >= 3 and all(len(x.split()) < 9 for x in lines[-2:]) and not any(re.search(r"[.;:]\Z", x.strip()) for x in lines[-3:-1]))
     if ends_in_entry:
         return "entry", pattern_of(lines[-1]), last
-    if broken or marked:
+    if broken:
         return "mark", pattern_of(tail), last
     if re.search(r"[”»\")\]]\Z", body) and not quotes:
         return "whole", "", last
@@ -93,8 +92,8 @@ def _whole_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not _TERMINAL.search(text) or _MARK.search(text.rstrip()):
                 parts = parts[:-1]
             for p in parts:
-                if p and p.rstrip()[-1:] in ".!?" or p is not parts[-1]:
-                    k = pattern_of(p)
+                # entries of lists end in full stops too; a sentence holds a common word
+                if p.rstrip()[-1:] in tuple(".!?") and not _ENTRY.match(p) and re.search(r"[a-záéíóúãõç]{2,}|\by\b|\be\b", k := pattern_of(p)):
                     found[k] = found.get(k, 0) + 1
         yield pd.DataFrame({"pattern": list(found), "n": pd.Series(list(found.values()), dtype="int64")})
 
@@ -122,7 +121,7 @@ def strict_prefixes(df: DataFrame, key: str, value: str, copies: DataFrame | Non
 def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") -> DataFrame:
     """(kind, key, reason) of values that stop within a word or a sentence; one row per key and kind.
 
-    Reasons: word (the last word is unknown elsewhere), sentence (no whole sentence elsewhere has the pattern), quote, prefix
+    Reasons: word (the last word is unknown elsewhere), sentence (no whole sentence elsewhere has the pattern), mark (a cut mark within a word or sentence), quote, prefix
     (a longer copy goes on in the middle of a sentence). Null, blank and whole values give no row.
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["kind", "key"])
@@ -131,36 +130,44 @@ def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") ->
     # a word counts where something follows it in its value; the word that ends a value is no witness
     inner = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", "")), F.lit(r"(\p{L}+|\p{N}[\p{N}.,]*)"), 1)
     known = rows.select(F.explode(inner).alias("last_word")).groupBy("last_word").agg(F.count("*").alias("n_word"))
-    judged = ends.join(patterns, "pattern", "left").join(known, "last_word", "left")
+    # patterns in sorted order: one that is a strict prefix of another stands directly before it
+    ended = ends.filter("state IN ('open', 'mark')").groupBy("pattern").agg(F.count("*").alias("n_ended"))
+    every = patterns.select("pattern").unionByName(ended.select("pattern")).distinct().withColumn("first", F.substring("pattern", 1, 4))
+    after = F.lead("pattern").over(Window.partitionBy("first").orderBy("pattern"))
+    longer = every.withColumn("goes_on", after.startswith(F.col("pattern"))).select("pattern", "goes_on").join(ended, "pattern")
+    judged = ends.join(patterns, "pattern", "left").join(longer, "pattern", "left").join(known, "last_word", "left")
     judged = judged.join(strict_prefixes(rows.select(F.concat_ws("\u0001", "kind", "key").alias("k"), "text"), "k", "text").select(F.col("key").alias("k"), F.lit(True).alias("is_prefix")).distinct(), F.concat_ws("\u0001", "kind", "key") == F.col("k"), "left")
     word_like = F.col("last_word").rlike(r"^\p{L}+$")
     strange = word_like & (F.coalesce("n_word", F.lit(0)) < 2)
     unseen = F.coalesce("n_pattern", F.lit(0)) < 1
+    # many values end in this pattern and none goes on from it: these are whole ones without a full stop
+    usual = (F.coalesce("n_ended", F.lit(0)) >= 3) & ~F.coalesce("goes_on", F.lit(False))
     reason = (
-        F.when(F.col("state").isin("open", "mark", "quote") & strange, "word")
-        .when((F.col("state") == "entry") & strange, "word")
-        .when(F.col("state") == "quote", "quote")
-        .when(F.col("state").isin("open", "mark") & unseen, "sentence")
-        .when(F.col("state").isin("open", "mark") & F.col("is_prefix"), "prefix")
+        F.when(strange, "word")
+        .when(F.col("state").isin("quote", "mark"), F.col("state"))
+        .when((F.col("state") == "open") & unseen & ~usual, "sentence")
+        .when((F.col("state") == "open") & F.col("is_prefix"), "prefix")
     )
     return judged.select("kind", "key", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def truncated_copies(df: DataFrame, key: str, text: str, source: str, kind: str = "kind") -> DataFrame:
-    """(kind, key, reason) of values that should carry the whole of ``source`` and hold only a strict prefix of it.
+def truncated_copies(df: DataFrame, key: str, text: str, source: str, kind: str = "kind", anchor: int = 24) -> DataFrame:
+    """(kind, key, reason) of values that should carry the whole of ``source`` and don't, white space aside; one row per key.
 
-    The value's body begins after its first blank line. A body that doesn't carry its source is looked up among the sources by
-    the prefix join, so a copy elsewhere counts as well; short bodies are held against their own source.
+    What follows the place where the source begins in the value is looked up by the prefix join among all sources ('prefix': it is
+    a strict prefix of a longer copy) and held against the own source ('own'); 'lost' are values cut before that place.
+    A null value or source gives no row.
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
     bare, whole = F.regexp_replace("text", r"\s+", ""), F.regexp_replace("source", r"\s+", "")
     lost = rows.filter(~bare.contains(whole)).dropDuplicates(["kind", "key"])
-    body = F.regexp_replace("text", r"(?s)^.*?\n[ \t]*\n", "")
-    lost = lost.withColumn("k", F.concat_ws("\u0001", "kind", "key")).withColumn("body", body)
-    elsewhere = strict_prefixes(lost, "k", "body", rows.select(F.col("source").alias("body"))).select(F.col("key").alias("k")).distinct()
-    own = whole.startswith(squeezed(F.col("body"))) | (~F.col("text").rlike(r"\n[ \t]*\n")) | (F.length(squeezed(F.col("body"))) < PREFIX)
-    found = lost.join(elsewhere.withColumn("there", F.lit(True)), "k", "left")
-    return found.select("kind", "key", F.when(F.col("there"), "prefix").when(own, "own").alias("reason")).filter(F.col("reason").isNotNull())
+    at = F.instr(bare, F.substring(whole, 1, anchor))
+    rest = F.when(at > 0, F.substring(bare, at, F.length(bare)))
+    lost = lost.select("kind", "key", F.concat_ws("\u0001", "kind", "key").alias("k"), rest.alias("body"), whole.alias("whole"))
+    elsewhere = strict_prefixes(lost, "k", "body", rows.select(F.col("source").alias("body"))).select(F.col("key").alias("k"), F.lit(True).alias("there")).distinct()
+    found = lost.join(elsewhere, "k", "left")
+    reason = F.when(F.col("there"), "prefix").when(F.col("whole").startswith(squeezed(F.col("body"))), "own").otherwise("lost")
+    return found.select("kind", "key", reason.alias("reason"))
 
 
 def truncation_rates(found: DataFrame, rows: DataFrame, key: str, source: str) -> DataFrame:
