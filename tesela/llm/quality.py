@@ -118,14 +118,14 @@ def robust_z(stats: DataFrame, group: str = "language", sk: DataFrame | None = N
 
 
 #: Tails that mark a text as no prose.
-FAR_TAIL, NEAR_TAIL = -3.5, -1.9
+FAR_TAIL, MID_TAIL, NEAR_TAIL = -3.5, -2.5, -1.9
 
 
 def no_prose(z: DataFrame) -> Column:
     """Whether the text is mostly no sentences: in the far tail of common words, or in the near tail with
     a second statistic in its own tail (short lines, digits, separators, repeated words)."""
     common = F.col("z_common_share")
-    second = (F.col("short_line_share") > 0.5) | (F.col("digit_word_ratio") > 0.3) | (F.col("separator_share") > 0.125) | ((F.col("distinct_share") < 0.3) & (F.col("n_words") > 20)) | (F.col("z_symbol_ratio") > 6)
+    second = ((F.col("short_line_share") > 0.5) & (common < MID_TAIL)) | (F.col("digit_word_ratio") > 0.3) | (F.col("separator_share") > 0.125) | ((F.col("distinct_share") < 0.3) & (F.col("n_words") > 20)) | (F.col("z_symbol_ratio") > 6)
     und = F.col("language") == "und"
     return (F.col("n_words") == 0) | (common < FAR_TAIL) | ((common < NEAR_TAIL) & second) | (und & ((F.col("common_share") < 0.1) | (F.col("mean_word_len") > 20)))
 

@@ -22,6 +22,19 @@ def _scan_records(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d, "rag_documents", "content").unionByName(records(spark, d, "document_paragraphs", "raw_content"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .ocr import scan_damage
+
+    found = scan_damage(_scan_records(spark, d), "rec_id", "text", "rec_table")
+    return found.select(F.col("kind").alias("rec_table"), F.col("key").alias("rec_id")).distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from .ocr import repaired
+
+    return repaired(_scan_records(spark, d), "rec_id", "text", "rec_table")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .neardup import near_duplicates, record_pairs
 
@@ -101,5 +114,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
