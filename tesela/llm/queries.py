@@ -114,5 +114,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    from .toxic import content_scores
+
+    return content_scores(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).filter("n_passages > 0").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of documents with such passages per source."""
+    from .toxic import content_rates
+
+    return content_rates(_scores(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
