@@ -172,7 +172,7 @@ def sub_query_table(questions: DataFrame, embed=None, splitter=None, most: int =
 def score_map(chunks: DataFrame, queries: DataFrame, n: int = 1000) -> DataFrame:
     """(query_id, id, document_id, score, rank): similarity 1 - d/2 of the n nearest chunks."""
     near = vector_ranking(chunks, queries, n, ("document_id",))
-    return near.select("query_id", "id", "document_id", F.round(vc.map_similarity(F.col("distance")), 6).alias("score"), "rank")
+    return near.select("query_id", "id", "document_id", F.round(vc.map_similarity(F.col("distance")), 7).alias("score"), "rank")
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
