@@ -433,7 +433,7 @@ def hierarchy(text: str, mime: str = "", parent_max: int = 1800, child_max: int
         first = len(out.children)
         for c in merged_short(_slices(p.text, child_max, None, size_for), child_min):
             start = p.start + c.start
-            out.children.append(Child(c.text, len(out.children), number, start, start + len(c.text)))
+            out.children.append(Child(c.text, len(out.children), number, start, p.start + c.end))
         out.parents.append(Parent(p.text, number, p.start, first, max(first, len(out.children) - 1)))
     return out
 

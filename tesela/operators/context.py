@@ -28,7 +28,7 @@ def rerank(ranked: DataFrame, n: int = 7, score: Column | None = None, weight: f
 def cross_encoded(ranked: DataFrame, logits: Callable[[Column, Column], Column], n: int = 7) -> DataFrame:
     """Reranking by a cross-encoder over (query, title and text); ``logits`` builds the column, such as a pandas UDF."""
     passage = F.concat_ws("\n", "doc_title", "raw_content")
-    scored = ranked.withColumn("model_score", tx.logit_score(logits(F.col("query_text"), passage)))
+    scored = ranked.withColumn("logits", logits(F.col("query_text"), passage)).withColumn("model_score", tx.logit_score(F.col("logits"))).drop("logits")
     return rerank(scored, n, F.col("model_score"), weight=1.0)
 
 

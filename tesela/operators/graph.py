@@ -36,7 +36,7 @@ def _block_links(threshold: float, cross: bool, limit: int):
         b = a if i == j else pdf[pdf["block"] == j]
         x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
         if not len(x) or not len(y):
-            return pd.DataFrame({"source_id": [], "target_id": [], "similarity": []})
+            return pd.DataFrame(columns=["source_id", "target_id", "similarity"])
         s = np.round(x @ y.T, 6)
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
         keep = s >= threshold

@@ -20,33 +20,43 @@ LINE_STEP, WORD_GAP = 0.5, 0.002
 MIN_TEXT, MAX_OCR_PAGES = 20, 60
 
 
+def _row_of(rows: list[list[float]], top: float, bottom: float) -> int:
+    """Number of the first row that an item overlaps by more than 40 % of the smaller height; a new row where there is none."""
+    for n, (lo, hi) in enumerate(rows):
+        smaller = min(bottom - top, hi - lo)
+        if smaller > 0 and (min(bottom, hi) - max(top, lo)) / smaller > OVERLAP:
+            rows[n] = [min(lo, top), max(hi, bottom)]
+            return n
+    rows.append([top, bottom])
+    return len(rows) - 1
+
+
 def cluster(tops: list[float], bottoms: list[float]) -> list[int]:
-    """Row numbers of items in reading order: an item joins the first row that it overlaps by more than 40 % of the smaller height."""
+    """Row numbers of items in reading order."""
     rows: list[list[float]] = []
-    out = []
-    for t, b in zip(tops, bottoms):
-        for n, (lo, hi) in enumerate(rows):
-            smaller = min(b - t, hi - lo)
-            if smaller > 0 and (min(b, hi) - max(t, lo)) / smaller > OVERLAP:
-                rows[n] = [min(lo, t), max(hi, b)]
-                break
-        else:
-            n = len(rows)
-            rows.append([t, b])
-        out.append(n)
-    return out
+    return [_row_of(rows, t, b) for t, b in zip(tops, bottoms)]
 
 
-def _rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["y", "x", "item"], kind="stable")
-    number = cluster(pdf["y"].tolist(), (pdf["y"] + pdf["height"]).tolist())
-    return pdf.assign(row_no=number, place=range(len(pdf)))
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # items come sorted by page and reading order; a page may go on in the next batch
+    page, rows, place = None, [], 0
+    for pdf in batches:
+        numbers, places = [], []
+        for d, p, y, h in zip(pdf["document_id"], pdf["page"], pdf["y"], pdf["height"]):
+            if (d, p) != page:
+                page, rows, place = (d, p), [], 0
+            numbers.append(_row_of(rows, y, y + h))
+            places.append(place)
+            place += 1
+        yield pdf.assign(row_no=pd.Series(numbers, dtype="int32", index=pdf.index), place=pd.Series(places, dtype="int32", index=pdf.index))
 
 
 def page_rows(items: DataFrame) -> DataFrame:
-    """Items with their row (``row_no``) and place in reading order; the greedy matching needs a page at a time, which is small."""
+    """Items with their row (``row_no``) and place in reading order: a greedy matching that walks sorted pages, one at a time."""
     cols = "document_id string, page int, item int, str string, x double, y double, width double, height double"
-    return items.select(*[c.split(" ")[0] for c in cols.split(", ")]).groupBy("document_id", "page").applyInPandas(_rows, cols + ", row_no int, place int")
+    narrow = items.select(*[c.split(" ")[0] for c in cols.split(", ")])
+    ordered = narrow.repartition("document_id").sortWithinPartitions("document_id", "page", "y", "x", "item")
+    return ordered.mapInPandas(_rows, cols + ", row_no int, place int")
 
 
 def row_table(rows: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ class Options:
 
 
 #: Queries up to this size are sent to every task; more are joined by blocks of queries.
-QUERY_BYTES = 32 << 20
+QUERY_BYTES, QUERY_ROW_BYTES = 32 << 20, 16 << 10
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -49,7 +49,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def _beside(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Each chunk beside each query: a stated set of queries against all rows. A large set goes in blocks."""
-    if estimated_bytes(queries) <= QUERY_BYTES:
+    # a table made of local rows has no estimate, so its rows are counted
+    if estimated_bytes(queries) <= QUERY_BYTES or queries.count() * QUERY_ROW_BYTES <= QUERY_BYTES:
         return chunks.join(F.broadcast(queries))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(64)))
     spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))

@@ -109,7 +109,9 @@ HYBRID = (
     f"h AS (SELECT query_id, id, hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) AS rank FROM (SELECT f.query_id, f.id, "
     "round(rrf + CASE WHEN x.id IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END, 9) AS hybrid_score FROM f LEFT JOIN x USING (query_id, id)) QUALIFY rank <= 20)"
 )
-HYBRID_CTES = ", ".join([P, Q, _vec(60), _lex(60), _fused(), EXACT, HYBRID])
+# chunks whose document is missing are no candidates for reranking
+WITH_DOC = "hd AS (SELECT h.query_id, h.id, hybrid_score, row_number() OVER (PARTITION BY h.query_id ORDER BY hybrid_score DESC, h.rank, h.id) AS rank FROM h JOIN p ON p.id = h.id JOIN rag_documents d ON d.id = p.document_id)"
+HYBRID_CTES = ", ".join([P, Q, _vec(60), _lex(60), _fused(), EXACT, HYBRID, WITH_DOC])
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------------
@@ -203,12 +205,12 @@ def _hybrid_rows(s, d):
     return rt.hybrid_search(_paras(s, d, *CHUNK), _docs(s, d), _queries(s, d))
 
 
-@query(f"WITH {HYBRID_CTES} SELECT query_id, id, hybrid_score, rank AS final_rank FROM h WHERE rank <= 7")
+@query(f"WITH {HYBRID_CTES} SELECT query_id, id, hybrid_score, rank AS final_rank FROM hd WHERE rank <= 7")
 def rerank_hybrid(s, d):
     return cx.rerank(_hybrid_rows(s, d)).select("query_id", "id", "hybrid_score", "final_rank")
 
 
-BLEND = "b AS (SELECT h.query_id, h.id, h.rank, round(0.6::DOUBLE * least(1.0::DOUBLE, length(p.raw_content) / 1000.0::DOUBLE) + (1 - 0.6)::DOUBLE * hybrid_score, 9) AS rerank_score FROM h JOIN p USING (id))"
+BLEND = "b AS (SELECT h.query_id, h.id, h.rank, round(0.6::DOUBLE * least(1.0::DOUBLE, length(p.raw_content) / 1000.0::DOUBLE) + (1 - 0.6)::DOUBLE * hybrid_score, 9) AS rerank_score FROM hd h JOIN p USING (id))"
 
 
 @query(f"WITH {HYBRID_CTES}, {BLEND} SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, id) AS final_rank FROM b QUALIFY final_rank <= 7")
@@ -217,7 +219,7 @@ def rerank_blend(s, d):
     return cx.rerank(_hybrid_rows(s, d), score=F.length("raw_content") / 1000.0).select("query_id", "id", "rerank_score", "final_rank")
 
 
-@query(f"WITH {HYBRID_CTES} SELECT query_id, h.id, rank, c.content AS parent_content FROM h JOIN p ON p.id = h.id LEFT JOIN document_parent_chunks c ON c.id = p.parent_chunk_id WHERE rank <= 7")
+@query(f"WITH {HYBRID_CTES} SELECT query_id, h.id, rank, c.content AS parent_content FROM hd h JOIN p ON p.id = h.id LEFT JOIN document_parent_chunks c ON c.id = p.parent_chunk_id WHERE rank <= 7")
 def parent_enrich(s, d):
     best = cx.rerank(_hybrid_rows(s, d)).withColumn("rank", F.col("final_rank"))
     return cx.with_parents(best, table(s, d, "document_parent_chunks")).select("query_id", "id", "rank", "parent_content")
@@ -225,7 +227,7 @@ def parent_enrich(s, d):
 
 @query(
     f"WITH {HYBRID_CTES}, b AS (SELECT h.query_id, h.rank, '[Fuente ' || rank || ' - ' || d.title || ' (fragmento ' || p.paragraph_index || ') | id:' || p.id || ']:' || chr(10) || coalesce(c.content, p.contextualized_text) AS t "
-    "FROM h JOIN p ON p.id = h.id JOIN rag_documents d ON d.id = p.document_id LEFT JOIN document_parent_chunks c ON c.id = p.parent_chunk_id WHERE rank <= 7) SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY query_id"
+    "FROM hd h JOIN p ON p.id = h.id JOIN rag_documents d ON d.id = p.document_id LEFT JOIN document_parent_chunks c ON c.id = p.parent_chunk_id WHERE rank <= 7) SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY query_id"
 )
 def context_assembly(s, d):
     return cx.context_text(cx.with_parents(cx.rerank(_hybrid_rows(s, d)), table(s, d, "document_parent_chunks")))
