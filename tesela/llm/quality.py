@@ -98,7 +98,7 @@ def profile(sk: DataFrame, group: str = "language") -> DataFrame:
     """Median and robust scale of each statistic, taken from the sketches: one row per language."""
 
     def q(s: str, p: float) -> Column:
-        return F.kll_sketch_get_quantile_double(F.col(s), F.lit(p))
+        return F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(F.col(s), F.lit(p)))
 
     cols = []
     for s in STATS:

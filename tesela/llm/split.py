@@ -96,7 +96,8 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.append(key)
                 ats.append(begin + at - lead)
                 strengths.append(s)
-        yield pd.DataFrame({"key": keys, "at": pd.Series(ats, dtype="int64"), "strength": pd.Series(strengths, dtype="int32")})
+        if keys:
+            yield pd.DataFrame({"key": keys, "at": pd.Series(ats, dtype="int64"), "strength": pd.Series(strengths, dtype="int32")})
 
 
 def _walk(limit_of: dict[str, int] | None, limit: int, overlap: int):
@@ -170,7 +171,8 @@ def _file_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     keys.append(path)
                     ats.append(offset)
                     strengths.append(s)
-        yield pd.DataFrame({"key": keys, "at": pd.Series(ats, dtype="int64"), "strength": pd.Series(strengths, dtype="int32")})
+        if keys:
+            yield pd.DataFrame({"key": keys, "at": pd.Series(ats, dtype="int64"), "strength": pd.Series(strengths, dtype="int32")})
 
 
 def _whole(raw: bytes) -> bool:

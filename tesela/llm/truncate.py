@@ -95,7 +95,8 @@ def _whole_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # entries of lists end in full stops too; a sentence holds a common word
                 if p.rstrip()[-1:] in tuple(".!?") and not _ENTRY.match(p) and re.search(r"[a-záéíóúãõç]{2,}|\by\b|\be\b", k := pattern_of(p)):
                     found[k] = found.get(k, 0) + 1
-        yield pd.DataFrame({"pattern": list(found), "n": pd.Series(list(found.values()), dtype="int64")})
+        if found:
+            yield pd.DataFrame({"pattern": list(found), "n": pd.Series(list(found.values()), dtype="int64")})
 
 
 def squeezed(text: Column) -> Column:
