@@ -81,7 +81,8 @@ def _shards(words: int):
             codes = np.stack([b.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(words)], axis=1)
             octets = np.ascontiguousarray(codes).view(np.uint8).reshape(n, -1).astype(np.int32)
             number = octets.shape[1]
-            shard = (np.arange(number, dtype=np.int32) << 8)[None, :] | octets
+            group = b.column("kn").to_numpy(zero_copy_only=False).astype(np.int32)
+            shard = (group << 12)[:, None] | (np.arange(number, dtype=np.int32) << 8)[None, :] | octets
             rest = octets[:, np.arange(number) ^ 1]  # the other half of the same substring
             order = np.repeat(np.arange(n), number)
             at = pa.array(order)
@@ -181,18 +182,21 @@ def similar(df: DataFrame, key: str, vec: str, kind: str, k: int = 5, min_cosine
     ddl = f"kind string, key {key_type}, vid long, " + "".join(f"c{i} long, " for i in range(words)) + "v array<float>"
     coded = cut(rows.select("kind", "key", F.col("v").cast("array<float>").alias("v")).mapInArrow(_encode(rotation, dim, schema), ddl))
     codes = [f"c{i}" for i in range(words)]
-    one = coded.select("vid", *codes).dropDuplicates(["vid"])
+    # collections meet in no shard, but for those of an equal number; their pairs go at the join
+    one = coded.select("vid", (F.crc32("kind") % 2048).cast("int").alias("kn"), *codes).dropDuplicates(["vid"])
     spread = one.mapInArrow(_shards(words), "place int, vid long, " + ", ".join(f"{c} long" for c in codes))
     sharded = spread.repartition(F.shiftright("place", 8)).sortWithinPartitions("place")
     near = cut(sharded.mapInArrow(_probe(words, radius), "a long, b long").distinct())
     # vectors move once, and only those with a candidate go on
     asked = near.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    vectors = cut(coded.select("vid", "v").join(asked, "vid", "left_semi").dropDuplicates(["vid"]))
+    vectors = cut(coded.select("vid", "kind", "v").join(asked, "vid", "left_semi").dropDuplicates(["vid"]))
 
     def dot(x: str, y: str):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
 
-    pairs = near.join(vectors.select(F.col("vid").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("vid").alias("b"), F.col("v").alias("vb")), "b")
+    va = vectors.select(F.col("vid").alias("a"), F.col("kind").alias("ka"), F.col("v").alias("va"))
+    vb = vectors.select(F.col("vid").alias("b"), F.col("kind").alias("kb"), F.col("v").alias("vb"))
+    pairs = near.join(va, "a").join(vb, "b").filter("ka = kb")
     cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
     links = cut(pairs.select("a", "b", cosine.alias("cosine")).filter(F.col("cosine") >= min_cosine))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))

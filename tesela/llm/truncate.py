@@ -105,17 +105,20 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(bare, r"(?:\.{2,}|…|\[(?:\.\.\.|…)\]|�)+$", "")
 
 
-def strict_prefixes(df: DataFrame, key: str, value: str, copies: DataFrame | None = None, length: int = PREFIX) -> DataFrame:
+def strict_prefixes(df: DataFrame, key: str, value: str, copies: DataFrame | None = None, length: int = PREFIX, mid_sentence: bool = False) -> DataFrame:
     """Keys of ``df`` whose squeezed value is a strict prefix of a longer value in ``df`` or in the column ``value`` of ``copies``.
 
-    Values of under ``length`` characters don't count. Equal values are folded before the shuffle (partial aggregation by hash),
+    Values of under ``length`` characters don't count. ``mid_sentence``: nor those that the copy only goes on from with a stop. Equal values are folded before the shuffle (partial aggregation by hash),
     so a group of copies of any size sends one row a task.
     """
     mine = df.select(F.col(key).alias("key"), squeezed(F.col(value)).alias("s")).filter(F.length("s") >= length)
     every = mine.select("s") if copies is None else mine.select("s").unionByName(copies.select(F.regexp_replace(F.col(value), r"\s+", "").alias("s")).filter(F.length("s") >= length))
     distinct = every.groupBy("s").agg(F.lit(1).alias("one")).select("s")
     order = Window.partitionBy(F.xxhash64(F.substring("s", 1, length))).orderBy("s")
-    hits = distinct.withColumn("next", F.lead("s").over(order)).filter(F.col("next").startswith(F.col("s"))).select("s")
+    hits = distinct.withColumn("next", F.lead("s").over(order)).filter(F.col("next").startswith(F.col("s")))
+    if mid_sentence:
+        hits = hits.filter(~F.substr("next", F.length("s") + 1, F.lit(1)).rlike(r"[.!?;:)”»\"]"))
+    hits = hits.select("s")
     return mine.join(hits, "s", "left_semi").select("key")
 
 
@@ -128,8 +131,10 @@ def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") ->
     rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["kind", "key"])
     ends = rows.mapInPandas(_ends, "kind string, key string, state string, pattern string, last_word string").filter("state NOT IN ('whole', 'empty')")
     patterns = rows.select("text").mapInPandas(_whole_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n_pattern"))
-    # a word counts where something follows it in its value; the word that ends a value is no witness
-    inner = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", "")), F.lit(r"(\p{L}+|\p{N}[\p{N}.,]*)"), 1)
+    # a word counts where something follows it in its value; one that ends a value without a full stop is no witness
+    stopped = F.col("text").rlike(r"[\p{L}\p{N})”\"][.!?][\"”»’')\]]*\s*$")
+    sure = F.when(stopped, F.col("text")).otherwise(F.regexp_replace("text", r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", ""))
+    inner = F.regexp_extract_all(F.lower(sure), F.lit(r"(\p{L}+|\p{N}[\p{N}.,]*)"), 1)
     known = rows.select(F.explode(inner).alias("last_word")).groupBy("last_word").agg(F.count("*").alias("n_word"))
     # patterns in sorted order: one that is a strict prefix of another stands directly before it
     ended = ends.filter("state IN ('open', 'mark')").groupBy("pattern").agg(F.count("*").alias("n_ended"))
@@ -137,7 +142,7 @@ def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") ->
     after = F.lead("pattern").over(Window.partitionBy("first").orderBy("pattern"))
     longer = every.withColumn("goes_on", after.startswith(F.col("pattern"))).select("pattern", "goes_on").join(ended, "pattern")
     judged = ends.join(patterns, "pattern", "left").join(longer, "pattern", "left").join(known, "last_word", "left")
-    judged = judged.join(strict_prefixes(rows.select(F.concat_ws("\u0001", "kind", "key").alias("k"), "text"), "k", "text").select(F.col("key").alias("k"), F.lit(True).alias("is_prefix")).distinct(), F.concat_ws("\u0001", "kind", "key") == F.col("k"), "left")
+    judged = judged.join(strict_prefixes(rows.select(F.concat_ws("\u0001", "kind", "key").alias("k"), "text"), "k", "text", mid_sentence=True).select(F.col("key").alias("k"), F.lit(True).alias("is_prefix")).distinct(), F.concat_ws("\u0001", "kind", "key") == F.col("k"), "left")
     word_like = F.col("last_word").rlike(r"^\p{L}+$")
     strange = word_like & (F.coalesce("n_word", F.lit(0)) < 2)
     unseen = F.coalesce("n_pattern", F.lit(0)) < 1
