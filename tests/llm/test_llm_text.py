@@ -89,7 +89,7 @@ def test_cut_answers(spark):
     full = "La tasa comprende el registro, la oficina y el plazo. El titular no podrá fijar la norma en un plazo de 5 días."
     rows = [("a", f"w{i}", full.replace("tasa", w)) for i, w in enumerate("tasa multa cuota deuda beca".split() * 4)]
     rows += [("a", "word", full + " El titular no podrá fijar la nor"), ("a", "mid", full + " El titular no podrá fijar la norma en un"), ("a", "dots", full + " La multa comprende el registro..."), ("a", "mark", full + " El titular no podrá fijar la norma �")]
-    rows += [("a", "nostop", full[:-1]), ("a", "cite", full[:-1] + " (Fuente 3)"), ("a", "list", "Incluye:\n- tasa\n- multa"), ("a", "others", full[:-1] + ", entre otros..."), ("a", "null", None), ("a", "blank", "  ")]
+    rows += [("a", "nostop", full[:-1]), ("a", "cite", full[:-1].replace("tasa", "veda") + " (Fuente 3)"), ("a", "list", "Incluye:\n- tasa\n- multa"), ("a", "others", full[:-1].replace("tasa", "caja") + ", entre otros..."), ("a", "null", None), ("a", "blank", "  ")]
     df = spark.createDataFrame(rows + rows[:2], "kind string, id string, answer string").withColumn("key", F.lit(1)).withColumn("reason", F.lit("x"))
     got = {r.key: r.reason for r in truncate.truncated_answers(df, "id", "answer").collect()}
     assert set(got) == {"word", "mid", "dots", "mark"} and got["word"] == "word" and got["mid"] == "sentence"
