@@ -44,10 +44,10 @@ def with_parents(ranked: DataFrame, parents: DataFrame, enabled: bool = True) ->
 def neighbours(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks before or after a place: requests (request_id, document_id, paragraph_index, direction, count).
 
-    Nearest first; the documents asked for are few, so the requests are broadcast against the scan.
+    Nearest first. Only the places asked for are joined; the chunks of a document are narrowed before the ranking.
     """
     asked = requests.select("request_id", "document_id", F.col("paragraph_index").alias("place"), "direction", F.col("count").alias("wanted"))
-    met = chunks.join(F.broadcast(asked), "document_id")
+    met = chunks.join(asked, "document_id")
     side = F.when(F.col("direction") == "before", F.col("paragraph_index") < F.col("place")).otherwise(F.col("paragraph_index") > F.col("place"))
     gap = F.abs(F.col("paragraph_index") - F.col("place"))
     w = Window.partitionBy("request_id").orderBy(gap, "id")

@@ -21,11 +21,24 @@ def nodes(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return docs.unionByName(frags)
 
 
-def edges(paragraphs: DataFrame) -> DataFrame:
-    """(from_id, to_id, kind): document to fragment, and each fragment to the next of its document."""
+#: Fragments of a document that are ordered in one task.
+RUN = 4096
+
+
+def edges(paragraphs: DataFrame, run: int = RUN) -> DataFrame:
+    """(from_id, to_id, kind): document to fragment, and each fragment to the next of its document.
+
+    A document is ordered in runs of ``run`` indices, so one that holds a great part of all rows is spread over tasks; the first
+    fragment of a run finds the one before it among the ends of the runs, one row each.
+    """
     hier = paragraphs.select(F.concat(F.lit("doc-"), "document_id").alias("from_id"), F.concat(F.lit("frag-"), "id").alias("to_id"), F.lit("hierarchy").alias("kind"))
-    before = F.lag("id").over(Window.partitionBy("document_id").orderBy("paragraph_index", "id"))
-    seq = paragraphs.select(F.concat(F.lit("frag-"), before).alias("from_id"), F.concat(F.lit("frag-"), "id").alias("to_id"), F.lit("sequential").alias("kind")).filter("from_id IS NOT NULL")
+    rows = paragraphs.select("id", "document_id", "paragraph_index", F.floor(F.col("paragraph_index") / run).alias("run"))
+    rows = rows.withColumn("before", F.lag("id").over(Window.partitionBy("document_id", "run").orderBy("paragraph_index", "id")))
+    ends = rows.groupBy("document_id", "run").agg(F.max(F.struct("paragraph_index", "id")).alias("end"))
+    ends = ends.select("document_id", "run", F.lag("end.id").over(Window.partitionBy("document_id").orderBy("run")).alias("end_before"))
+    inner = rows.filter("before IS NOT NULL").select("before", "id")
+    first = rows.filter("before IS NULL").join(ends, ["document_id", "run"]).filter("end_before IS NOT NULL").select(F.col("end_before").alias("before"), "id")
+    seq = inner.unionByName(first).select(F.concat(F.lit("frag-"), "before").alias("from_id"), F.concat(F.lit("frag-"), "id").alias("to_id"), F.lit("sequential").alias("kind"))
     return hier.unionByName(seq)
 
 

@@ -47,10 +47,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether a query table is known to be small; one made of local rows has no estimate, so its rows are counted."""
+    return estimated_bytes(queries) <= QUERY_BYTES or queries.count() * QUERY_ROW_BYTES <= QUERY_BYTES
+
+
+def _hinted(df: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """``df`` holds a bounded number of rows for each query: it is broadcast where the queries are known to be few."""
+    return F.broadcast(df) if queries is not None and few(queries) else df
+
+
 def _beside(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Each chunk beside each query: a stated set of queries against all rows. A large set goes in blocks."""
-    # a table made of local rows has no estimate, so its rows are counted
-    if estimated_bytes(queries) <= QUERY_BYTES or queries.count() * QUERY_ROW_BYTES <= QUERY_BYTES:
+    if few(queries):
         return chunks.join(F.broadcast(queries))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(64)))
     spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
@@ -123,17 +132,17 @@ def hybrid_ranking(chunks: DataFrame, queries: DataFrame, o: Options = Options()
     return top(joined.select("query_id", "id", F.round(score, 9).alias("hybrid_score")), [F.desc("hybrid_score"), F.asc("id")], o.limit)
 
 
-def with_chunks(ranking: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranking rows with the columns of their chunk and its document; the few ranked rows are the build side."""
+def with_chunks(ranking: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Ranking rows with the columns of their chunk and its document; ranked rows of few queries are sent to the chunks."""
     cols = ["id", "document_id", "paragraph_index", "raw_content", "contextualized_text", "parent_chunk_id"]
     docs = documents.select(F.col("id").alias("document_id"), F.col("title").alias("doc_title"), "r2_key", "r2_url")
-    return chunks.select(*cols).join(F.broadcast(ranking), "id").join(docs, "document_id")
+    return chunks.select(*cols).join(_hinted(ranking, queries), "id").join(docs, "document_id")
 
 
 def hybrid_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, o: Options = Options(), doc_ids: list[str] | None = None) -> DataFrame:
     """The ``limit`` best chunks of each query with their document. No ids: no filter."""
     inside = chunks.filter(F.col("document_id").isin(doc_ids)) if doc_ids else chunks
-    return with_chunks(hybrid_ranking(inside, queries, o), inside, documents)
+    return with_chunks(hybrid_ranking(inside, queries, o), inside, documents, queries)
 
 
 def document_ranking(documents: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
@@ -144,16 +153,16 @@ def document_ranking(documents: DataFrame, queries: DataFrame, n: int = 5) -> Da
 def two_stage_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
     """Documents first, then the chunks of these documents only, for each query by itself."""
     docs = document_ranking(documents, queries, o.top_docs).select("query_id", F.col("id").alias("document_id"))
-    inside = chunks.select("id", "document_id", "raw_content", "embedding").join(F.broadcast(docs), "document_id")
+    inside = chunks.select("id", "document_id", "raw_content", "embedding").join(_hinted(docs, queries), "document_id")
     n = o.limit * o.candidate_multiplier
-    both = inside.join(F.broadcast(queries), "query_id")
+    both = inside.join(_hinted(queries, queries), "query_id")
     near = both.filter("embedding IS NOT NULL").select("query_id", "id", F.round(vc.cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
     vectors = top(near, [F.asc_nulls_last("distance"), F.asc("id")], n)
     words = both.select("query_id", "id", tx.tokens(F.col("raw_content")).alias("words"), tx.query_terms(F.col("query_text")).alias("terms")).filter(F.arrays_overlap("words", "terms"))
     lexical = top(words.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score")), [F.desc("score"), F.asc("id")], n)
     fused = fuse([(vectors, o.vector_weight), (lexical, o.lexical_weight)], o.k)
     ranked = top(fused.select("query_id", "id", F.round("rrf", 9).alias("hybrid_score")), [F.desc("hybrid_score"), F.asc("id")], o.limit)
-    return with_chunks(ranked, chunks, documents)
+    return with_chunks(ranked, chunks, documents, queries)
 
 
 def multi_query(rankings: DataFrame, n: int = 20, k: int = 60, group: str = "conversation_id") -> DataFrame:

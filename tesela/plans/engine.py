@@ -19,9 +19,9 @@ def answer_sources(questions: DataFrame, tables: dict[str, DataFrame], embed: Ca
     """
     subs = rt.sub_query_table(questions, embed, splitter)
     ranked = rt.hybrid_ranking(tables["document_paragraphs"], subs, o)
-    named = ranked.join(F.broadcast(subs.select("query_id", "conversation_id")), "query_id")
+    named = ranked.join(subs.select("query_id", "conversation_id"), "query_id")
     fused = rt.multi_query(named, o.max_context).withColumnRenamed("conversation_id", "query_id")
-    full = rt.with_chunks(fused, tables["document_paragraphs"], tables["rag_documents"])
+    full = rt.with_chunks(fused, tables["document_paragraphs"], tables["rag_documents"], questions)
     best = cx.rerank(full, o.top_k) if o.rerank else full.withColumn("final_rank", F.col("rank")).withColumn("rerank_score", F.lit(None).cast("double")).filter(F.col("rank") <= o.top_k)
     return cx.with_parents(best, tables["document_parent_chunks"], o.parents)
 

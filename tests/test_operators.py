@@ -191,6 +191,12 @@ def test_graph_blocks_equal_one_block(spark, sf):
     assert gr.ego_nodes(links, center).first().id == center
 
 
+def test_edges_over_runs(spark, chunks):
+    want = sorted(map(tuple, gr.edges(chunks).collect()))
+    assert sorted(map(tuple, gr.edges(chunks.filter("paragraph_index != 3"), run=2).filter("kind = 'sequential'").collect()))[:2] == [("frag-c00", "frag-c01", "sequential"), ("frag-c01", "frag-c02", "sequential")]
+    assert sorted(map(tuple, gr.edges(chunks, run=2).collect())) == want and len(want) == 18 + 15
+
+
 def test_positions(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 501).alias("v"))
     got = positions(df, ["v"]).orderBy("v").collect()
