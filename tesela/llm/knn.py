@@ -210,3 +210,56 @@ def similar(df: DataFrame, key: str, vec: str, kind: str, k: int = 5, min_cosine
     mine = members.join(best, "vid").filter(F.col("key") != F.col("other"))
     top = mine.withColumn("n", F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k)
     return top.select("kind", F.least("key", "other").alias("id_a"), F.greatest("key", "other").alias("id_b"), "cosine").dropDuplicates(["kind", "id_a", "id_b"])
+
+
+#: Queries of one block of the exact scan.
+SCAN_BLOCK = 4096
+
+
+def _scan(keys: list, kinds: list[str], unit: np.ndarray, k: int, dim: int):
+    """First k rows of a batch for each query of a block, by exact cosines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = np.array(kinds, dtype=object)
+        for b in batches:
+            rows, x = _matrix(b.column("v"), dim)
+            if not len(rows):
+                continue
+            cos = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+            mine = np.array(b.column("kind").take(pa.array(rows)).to_pylist(), dtype=object)
+            cos[owner[:, None] != mine[None, :]] = -2.0
+            n = min(k + 1, len(rows))  # the query itself may be among them
+            least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
+            i, j = np.nonzero(cos >= np.maximum(least, -1.5)[:, None])  # ties of the last place stay
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner[i], pa.string()), pa.array([keys[a] for a in i]), b.column("key").take(pa.array(rows[j])), pa.array(cos[i, j])],
+                names=["kind", "query", "key", "cosine"],
+            )
+
+    return run
+
+
+def scan_top_k(df: DataFrame, queries: DataFrame, key: str, vec: str, kind: str, k: int = 5, block: int = SCAN_BLOCK) -> DataFrame:
+    """(kind, query, key, cosine, rank): the k most similar rows of a stated set of queries, by exact cosines over all rows.
+
+    Queries go in blocks of ``block``, which the driver sends to the tasks one after another; each task gives the first of its
+    batches. The rules for vectors and copies are those of ``similar``; a query is no neighbour of itself.
+    """
+    cols = [F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("v")]
+    rows = df.select(*cols).filter("v IS NOT NULL")
+    asked = queries.select(*cols).filter("v IS NOT NULL").dropDuplicates(["kind", "key"])
+    blocks = max(1, -(-asked.count() // block))
+    key_type = dict(rows.dtypes)["key"]
+    ddl = f"kind string, query {key_type}, key {key_type}, cosine double"
+    parts = rows.sparkSession.createDataFrame([], ddl)
+    for n in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("kind", "key"), F.lit(blocks)) == n).toArrow()
+        if not some.num_rows:
+            continue
+        dim = int(np.argmax(np.bincount([len(x) for x in some.column("v").to_pylist()])))
+        at, x = _matrix(some.column("v"), dim)
+        keys, kinds = [some.column("key")[i].as_py() for i in at], [some.column("kind")[i].as_py() for i in at]
+        parts = parts.unionByName(rows.mapInArrow(_scan(keys, kinds, x / np.linalg.norm(x, axis=1, keepdims=True), k, dim), ddl))
+    found = parts.filter("query != key").dropDuplicates(["kind", "query", "key"])
+    order = Window.partitionBy("kind", "query").orderBy(F.desc("cosine"), "key")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

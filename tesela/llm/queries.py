@@ -90,14 +90,27 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.lit("query_evaluations").alias("rec_table"), "*").unionByName(b.select(F.lit("document_paragraphs").alias("rec_table"), "*"))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    from .knn import similar
-
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = None
     for name, vec in (("document_paragraphs", "embedding"), ("rag_documents", "embedding_base")):
         one = table(spark, d, name).select(F.lit(name).alias("rec_table"), "id", F.col(vec).alias("v"))
         rows = one if rows is None else rows.unionByName(one)
-    return similar(rows, "id", "v", "rec_table").select(F.col("kind").alias("rec_table"), "id_a", "id_b")
+    return rows
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar records of every record whose hashed id is divisible by 50, however far they are."""
+    from .knn import scan_top_k
+
+    rows = _vectors(spark, d)
+    asked = rows.filter(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 50 == 0)
+    return scan_top_k(rows, asked, "id", "v", "rec_table").withColumnRenamed("kind", "rec_table")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .knn import similar
+
+    return similar(_vectors(spark, d), "id", "v", "rec_table").select(F.col("kind").alias("rec_table"), "id_a", "id_b")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -131,5 +144,49 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return content_rates(_scores(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
+
+# --- SQL ----------------------------------------------------------------------------------------------------------------------
+
+
+def _union(parts: dict[str, str]) -> str:
+    """(rec_table, rec_id, x) of the stated column of each table, rows delivered twice once."""
+    one = "SELECT '{0}' AS rec_table, id AS rec_id, any_value({1}) AS x FROM {0} GROUP BY id"
+    return " UNION ALL ".join(one.format(name, col) for name, col in parts.items())
+
+
+_SCANNED = _union({"rag_documents": "content", "document_paragraphs": "raw_content"})
+_UNITS = (
+    "r AS (" + _union({"document_paragraphs": "embedding::DOUBLE[]", "rag_documents": "embedding_base::DOUBLE[]"}) + "), "
+    "u AS (SELECT rec_table, rec_id, x, sqrt(list_inner_product(x, x)) AS n FROM r WHERE x IS NOT NULL AND list_inner_product(x, x) > 0)"
+)
+_COS = "list_inner_product(a.x, b.x) / (a.n * b.n)"
+_NEAR = (
+    "t AS (SELECT a.rec_table, a.rec_id AS q, b.rec_id AS k, {cos} AS c FROM u a JOIN u b ON a.rec_table = b.rec_table AND a.rec_id != b.rec_id {where} "
+    "QUALIFY row_number() OVER (PARTITION BY a.rec_table, a.rec_id ORDER BY c DESC, b.rec_id) <= 5)"
+)
+_TENTH = "WHERE ('0x' || substr(md5(a.rec_id), 1, 8))::BIGINT % 50 = 0"
+_WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
+_GRAMS = "(SELECT {0}, array_to_string(w[k:k + 15], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 14)) AS k FROM {1}))"
+SQL: dict[str, str] = {
+    "p3_found": (
+        f"WITH r AS ({_SCANNED}), w AS (SELECT rec_table, rec_id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS w FROM r), "
+        "g AS (SELECT DISTINCT rec_table, rec_id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)), "
+        "n AS (SELECT rec_table, rec_id, count(*) AS n FROM g GROUP BY ALL HAVING n >= 20), k AS (SELECT g.*, n.n FROM g JOIN n USING (rec_table, rec_id)), "
+        "p AS (SELECT a.rec_table, a.rec_id AS id_a, b.rec_id AS id_b, a.n + b.n AS s, count(*) AS c FROM k a JOIN k b ON a.rec_table = b.rec_table AND a.g = b.g "
+        "AND a.rec_id < b.rec_id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY ALL) SELECT rec_table, id_a, id_b FROM p WHERE c >= 0.6 * (s - c)"
+    ),
+    "p4_found": "SELECT DISTINCT rec_table, rec_id FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS rec_table, id AS rec_id FROM {name} WHERE length({TEXTS[name]}) > {limit}" for name, limit in LIMITS.items())
+    + ")",
+    "p6_found": f"WITH {_UNITS}, {_NEAR.format(cos=_COS, where='')} SELECT DISTINCT rec_table, least(q, k) AS id_a, greatest(q, k) AS id_b FROM t WHERE c >= 0.9",
+    "p6_neighbours": (
+        f"WITH {_UNITS}, {_NEAR.format(cos=f'round({_COS}, 6)', where=_TENTH)} "
+        "SELECT rec_table, q AS query, k AS key, c AS cosine, row_number() OVER (PARTITION BY rec_table, q ORDER BY c DESC, k) AS rank FROM t"
+    ),
+    "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 4096",
+    "p8_found": (
+        f"WITH i AS (SELECT item_id, {_WORDS} AS w FROM heldout_items), d AS (SELECT doc_id, {_WORDS} AS w FROM documents) "
+        f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format('doc_id', 'd')} JOIN {_GRAMS.format('item_id', 'i')} USING (g)"
+    ),
+}
