@@ -42,6 +42,7 @@ _TOKEN = re.compile(r"[(!|+]?[^\W_]+(?:[!|+(`´]+[^\W_]*)*")
 _BROKEN = re.compile(r"([^\W\d_][\w!|+(`´]*)(-|¬|‐|­)[ \t\r]*\n[ \t]*([^\W\d_][\w!|+`´]*)")
 _ROMAN = re.compile(r"[ivxlcdm]+\Z")
 _PAGE = re.compile(r"[-—–]{0,2}\s*(?:p\s?[áa]\s?g(?:\s?i\s?n\s?a)?\.?|fol(?:io)?\.?|page|n[°º])?\s*#(?:\s*(?:/|de|of|-)\s*#)?\s*(?:vta\.?|r\.?|v\.?)?\s*[-—–]{0,2}\Z")
+_HEADING = re.compile(r"(?:t[íi]tulo|cap[íi]tulo|secci[óo]n|section|libro|anexo|art[íi]culo|art\.|[-•*(\[|]|#[.)]|\w{1,4}[.)]\s)")
 _TERMINAL = re.compile(r"[.:;!?…][\"”»’')\]]*\Z")
 _BLOCK = re.compile(r"\n[ \t\r]*\n")
 
@@ -109,7 +110,7 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
     """(what, wrong, right or other form, word before, word after) of the suspicious places of one text.
 
     what: 'word' (a rare word in prose), 'broken' (a word broken across lines), 'page' (a line in the shape of a page number),
-    'header' (a line of capitals in a sentence).
+    'header' (a line of capitals in a sentence), 'running' (a line with capitals and digits beside prose).
     """
     out = []
     if not text:
@@ -135,10 +136,16 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
                 if (opens and (goes or not after)) if bare else (len(lines) > 1 or len(blocks) > 1):
                     out.append(("page", mask, x, "", ""))
                     continue
-            elif mask and len(letters) > 5 and sum(c.isupper() for c in letters) > 0.6 * len(letters) and not re.match(r"(?:t[íi]tulo|cap[íi]tulo|secci[óo]n|libro|anexo)\b", mask):
-                if (opens or not before) and goes:
+            elif mask and len(letters) > 5 and not _HEADING.match(mask):
+                capitals = sum(c.isupper() for c in letters) / len(letters)
+                if goes and ((capitals > 0.6 and (opens or not before)) or (capitals > 0.35 and "#" in mask and opens)):
                     out.append(("header", mask, x, "", ""))
                     continue
+                within = 0 < i < len(lines) - 1
+                if capitals > 0.35 and "#" in mask[1:] and mask[0] != "#" and not _TERMINAL.search(x) and (opens or goes or within or not before or not after) and len(lines) > 1:
+                    out.append(("running", mask, x, "", ""))
+                    if kept and kept[-1].rstrip()[-1:] in "-¬‐":
+                        continue  # else its words are looked at like others
             kept.append(line)
         if not prose[k]:
             continue
@@ -153,7 +160,10 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
         for i, (t, _) in enumerate(tokens):
             if len(t) < 2 or t in usual or t.isdigit() or _ROMAN.match(t) or not any(c.isalpha() for c in t):
                 continue
-            out.append(("word", t, skeleton(t), tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else ""))
+            before, after = tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else ""
+            # a 6 stands for b, ó or é
+            for form in {skeleton(t), skeleton(t.replace("6", "o")), skeleton(t.replace("6", "e"))}:
+                out.append(("word", t, form, before, after))
     return out
 
 
@@ -171,8 +181,8 @@ def scan_damage(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
 
     A rare word is misread where a form of the same skeleton is at least 20 times as frequent and, for words of up to 4 letters
     or with a rival form, stands beside one of its neighbours elsewhere too. A word that is broken at a plain hyphen counts
-    unless the hyphenated form is a word of its own. A masked line counts from two records on; page numbers and capitals
-    must stand in prose. Null and empty texts, lists, tables and debris give nothing.
+    unless the hyphenated form is a word of its own. A masked page number counts from two records on, a running
+    line from three; they must stand in prose. Null and empty texts, lists, tables and debris give nothing.
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     words, pairs = corpus_counts(rows)
@@ -208,9 +218,9 @@ def scan_damage(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     split = split.filter((F.coalesce("n_compound", F.lit(0)) < 2) | (F.coalesce("n_joined", F.lit(0)) > F.col("n_compound"))).select("kind", "key", F.lit("broken").alias("what"), F.col("other").alias("wrong"), F.col("wrong").alias("right"))
 
     # running headers and page numbers
-    lines = found.filter("what IN ('page', 'header')")
+    lines = found.filter("what IN ('page', 'header', 'running')")
     often = lines.groupBy("wrong").agg(F.count_distinct("kind", "key").alias("records"))
-    standing = lines.join(often, "wrong").filter((F.col("records") >= 2) | (F.col("what") == "header")).select("kind", "key", "what", F.col("other").alias("wrong"), F.lit("").alias("right"))
+    standing = lines.join(often, "wrong").filter((F.col("what") == "header") | (F.col("records") >= F.when(F.col("what") == "page", 2).otherwise(3))).select("kind", "key", "what", F.col("other").alias("wrong"), F.lit("").alias("right"))
     return misread.unionByName(split).unionByName(standing).distinct()
 
 
@@ -238,7 +248,7 @@ def repaired(df: DataFrame, key: str, text: str, kind: str, damage: DataFrame |
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).dropDuplicates(["kind", "key"])
     damage = cut(damage if damage is not None else scan_damage(df, key, text, kind))
-    gone = damage.filter("what IN ('page', 'header')").groupBy("kind", "key").agg(F.collect_set("wrong").alias("gone"))
+    gone = damage.filter("what IN ('page', 'header', 'running')").groupBy("kind", "key").agg(F.collect_set("wrong").alias("gone"))
     fixes = damage.filter("what = 'word'").groupBy("kind", "key").agg(F.collect_set(F.struct("wrong", "right")).alias("fixes"))
     joins = damage.filter("what = 'broken'").groupBy("kind", "key").agg(F.collect_set("right").alias("joins"))
     hit = rows.join(damage.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
