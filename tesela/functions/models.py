@@ -61,3 +61,33 @@ def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], list[list[floa
             yield pd.Series(model(list(zip(q.fillna(""), p.fillna("")))))
 
     return run
+
+
+def wait_before(attempt: int, error: Exception, base: float = 1.0, limited: float = 10.0, jitter: float = 0.0) -> float:
+    """Seconds to wait after a failed attempt (from 1): doubling, or what a rate limit asks for. ``jitter`` in 0..1 spreads workers."""
+    said = str(error)
+    if any(x in said for x in ("429", "rate limit", "Too Many Requests", "RateLimited")):
+        headers = {str(k).lower(): v for k, v in (getattr(error, "headers", None) or {}).items()}
+        try:
+            asked = float(headers.get("retry-after", 0))
+        except ValueError:
+            asked = 0.0
+        return (asked if asked > 0 else limited) + 5.0 * jitter
+    return base * 2 ** (attempt - 1) + jitter
+
+
+def persistent(model: Callable, tries: int = 3, base: float = 1.0, limited: float = 10.0) -> Callable:
+    """A model that is called again when it fails, for use inside the builders above; the last failure is raised."""
+    import random
+    import time
+
+    def call(batch):
+        for attempt in range(1, tries + 1):
+            try:
+                return model(batch)
+            except Exception as e:
+                if attempt == tries:
+                    raise
+                time.sleep(wait_before(attempt, e, base, limited, random.random()))
+
+    return call
