@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .quality import COMMON
 
 PREFIX = 48
+#: Pattern words by which the end of a sentence is known.
+GRAM = 4
 # Articles and contractions, beside the common words.
 _ARTICLES = "el la los las de del al o os as do da dos das no na the of a an um uma un una".split()
 _KEEP = {w for v in COMMON.values() for w in v} | set(_ARTICLES)
@@ -66,14 +68,18 @@ def look_at_end(text: str | None) -> tuple[str, str, str]:
     broken = text.rstrip().endswith("�") or re.search(r"[-\w,](?:\.\.\.|…)\s*\Z", text) is not None
     if not broken and _TERMINAL.search(text):
         return "whole", "", last
-    ends_in_entry = bool(_ENTRY.match(lines[-1])) or (len(lines) >= 3 and all(len(x.split()) < 9 for x in lines[-2:]) and not any(re.search(r"[.;:]\Z", x.strip()) for x in lines[-3:-1]))
+    inline = len(re.findall(r"\s[/|·–-]\s|;\s", tail)) >= 2
+    ends_in_entry = inline or bool(_ENTRY.match(lines[-1])) or (len(lines) >= 3 and all(len(x.split()) < 9 for x in lines[-2:]) and not any(re.search(r"[.;:]\Z", x.strip()) for x in lines[-3:-1]))
     if ends_in_entry:
         return "entry", pattern_of(lines[-1]), last
     if broken:
         return "mark", pattern_of(tail), last
     if re.search(r"[”»\")\]]\Z", body) and not quotes:
         return "whole", "", last
-    return ("quote" if quotes else "open"), pattern_of(tail), last
+    shape = pattern_of(tail)
+    if shape.count(",") >= 2 and re.fullmatch(r"(?:[xN#,;]|of)(?: (?:[xN#,;]|of))*", shape):
+        return "entry", shape, last
+    return ("quote" if quotes else "open"), shape, last
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,18 +142,30 @@ def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") ->
     sure = F.when(stopped, F.col("text")).otherwise(F.regexp_replace("text", r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", ""))
     inner = F.regexp_extract_all(F.lower(sure), F.lit(r"(\p{L}+|\p{N}[\p{N}.,]*)"), 1)
     known = rows.select(F.explode(inner).alias("last_word")).groupBy("last_word").agg(F.count("*").alias("n_word"))
-    # patterns in sorted order: one that is a strict prefix of another stands directly before it
-    ended = ends.filter("state IN ('open', 'mark')").groupBy("pattern").agg(F.count("*").alias("n_ended"))
-    every = patterns.select("pattern").unionByName(ended.select("pattern")).distinct().withColumn("first", F.substring("pattern", 1, 4))
-    after = F.lead("pattern").over(Window.partitionBy("first").orderBy("pattern"))
-    longer = every.withColumn("goes_on", after.startswith(F.col("pattern"))).select("pattern", "goes_on").join(ended, "pattern")
-    judged = ends.join(patterns, "pattern", "left").join(longer, "pattern", "left").join(known, "last_word", "left")
+    # the prefix join of patterns: how often whole sentences go on from a pattern, against how often values end in it
+    ended = ends.filter("state = 'open'").groupBy("pattern").agg(F.count("*").alias("n_ended"))
+    words = F.split("pattern", " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, 1, i), " "))
+    heads = patterns.filter(F.size(words) > 1).select(F.explode(starts).alias("pattern"), "n_pattern")
+    longer = heads.join(ended, "pattern", "left_semi").groupBy("pattern").agg(F.sum("n_pattern").alias("n_longer"))
+    longer = ended.join(longer, "pattern", "left")
+    # the same for the last words of a pattern, for sentences of a build that no whole one has
+    def last_of(c: str) -> Column:
+        w = F.split(c, " ")
+        return F.array_join(F.slice(w, F.greatest(F.size(w) - GRAM + 1, F.lit(1)), GRAM), " ")
+
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - GRAM + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, GRAM), " "))
+    placed = patterns.select("n_pattern", F.size(words).alias("size"), F.posexplode(grams).alias("at", "tail"))
+    at_end = F.col("at") >= F.col("size") - GRAM
+    tails = placed.groupBy("tail").agg(F.sum(F.when(at_end, F.col("n_pattern")).otherwise(0)).alias("n_last"), F.sum(F.when(at_end, 0).otherwise(F.col("n_pattern"))).alias("n_within"))
+    judged = ends.withColumn("tail", last_of("pattern")).join(patterns, "pattern", "left").join(longer, "pattern", "left").join(tails, "tail", "left").join(known, "last_word", "left")
     judged = judged.join(strict_prefixes(rows.select(F.concat_ws("\u0001", "kind", "key").alias("k"), "text"), "k", "text", mid_sentence=True).select(F.col("key").alias("k"), F.lit(True).alias("is_prefix")).distinct(), F.concat_ws("\u0001", "kind", "key") == F.col("k"), "left")
     word_like = F.col("last_word").rlike(r"^\p{L}+$")
     strange = word_like & (F.coalesce("n_word", F.lit(0)) < 2)
     unseen = F.coalesce("n_pattern", F.lit(0)) < 1
-    # many values end in this pattern and none goes on from it: these are whole ones without a full stop
-    usual = (F.coalesce("n_ended", F.lit(0)) >= 3) & ~F.coalesce("goes_on", F.lit(False))
+    # values end in this pattern more often than sentences go on from it: whole ones without a full stop
+    usual = (F.coalesce("n_ended", F.lit(0)) >= 3) & (F.col("n_ended") > F.coalesce("n_longer", F.lit(0)))
+    usual = usual | (F.coalesce(F.col("n_last") > F.col("n_within"), F.lit(False)) & (F.size(F.split("pattern", " ")) > GRAM))
     reason = (
         F.when(strange, "word")
         .when(F.col("state").isin("quote", "mark"), F.col("state"))
