@@ -14,7 +14,7 @@ COMMON = {
         "a al ante aquel bajo con contra desde durante en entre esta este esto está están ha habrá han hasta le les lo los "
         "mediante mientras ni no o para pero por que se según será serán si sin sobre su sus tendrá tras un una y "
         "e u cuando como donde más es son debe deberá deberán podrá podrán pudiera puede queda corresponde comprende "
-        "responderán responderá entiende admitirá conforme respecto dentro cada previa véase publíquese"
+        "responderán responderá entiende admitirá conforme respecto dentro cada véase publíquese"
     ).split(),
     "pt": (
         "ao aos às até com compreende decorridos desde deverá e em enquanto é está fica mediante na nas no nos não "
@@ -118,16 +118,17 @@ def robust_z(stats: DataFrame, group: str = "language", sk: DataFrame | None = N
 
 
 #: Tails that mark a text as no prose.
-FAR_TAIL, MID_TAIL, NEAR_TAIL = -3.5, -2.5, -1.9
+FAR_TAIL, MID_TAIL, NEAR_TAIL = -3.8, -2.5, -1.9
 
 
 def no_prose(z: DataFrame) -> Column:
     """Whether the text is mostly no sentences: in the far tail of common words, or in the near tail with
     a second statistic in its own tail (short lines, digits, separators, repeated words)."""
     common = F.col("z_common_share")
-    second = ((F.col("short_line_share") > 0.5) & (common < MID_TAIL)) | (F.col("digit_word_ratio") > 0.3) | (F.col("separator_share") > 0.125) | ((F.col("distinct_share") < 0.3) & (F.col("n_words") > 20)) | (F.col("z_symbol_ratio") > 6)
+    second = (F.col("short_line_share") > 0.9) | ((F.col("short_line_share") > 0.5) & (common < MID_TAIL)) | (F.col("digit_word_ratio") > 0.3) | (F.col("separator_share") > 0.125) | ((F.col("distinct_share") < 0.3) & (F.col("n_words") > 20)) | (F.col("symbol_ratio") > 0.12)
     und = F.col("language") == "und"
-    return (F.col("n_words") == 0) | (common < FAR_TAIL) | ((common < NEAR_TAIL) & second) | (und & ((F.col("common_share") < 0.1) | (F.col("mean_word_len") > 20)))
+    encoded = F.col("mean_word_len") > 12
+    return (F.col("n_words") == 0) | encoded | (common < FAR_TAIL) | ((common < NEAR_TAIL) & second) | (und & ((F.col("common_share") < 0.1) | (F.col("short_line_share") > 0.9)))
 
 
 def quality(df: DataFrame, key: str, text: str = "text") -> DataFrame:
