@@ -40,6 +40,8 @@ _COMMON = {w for v in COMMON.values() for w in v}
 _PLAIN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _TOKEN = re.compile(r"[(!|+]?[^\W_]+(?:[!|+(`´]+[^\W_]*)*")
 _BROKEN = re.compile(r"([^\W\d_][\w!|+(`´]*)(-|¬|‐|­)[ \t\r]*\n[ \t]*([^\W\d_][\w!|+`´]*)")
+_PAIR = re.compile(r"\(([^()]{0,80})\)")
+_DIGIT = re.compile(r"\d")
 _ROMAN = re.compile(r"[ivxlcdm]+\Z")
 _PAGE = re.compile(r"[-—–]{0,2}\s*(?:p\s?[áa]\s?g(?:\s?i\s?n\s?a)?\.?|fol(?:io)?\.?|page|n[°º])?\s*#(?:\s*(?:/|de|of|-)\s*#)?\s*(?:vta\.?|r\.?|v\.?)?\s*[-—–]{0,2}\Z")
 _HEADING = re.compile(r"(?:t[íi]tulo|cap[íi]tulo|secci[óo]n|section|libro|anexo|art[íi]culo|art\.|[-•*(\[|]|#[.)]|\w{1,4}[.)]\s)")
@@ -91,12 +93,6 @@ def corpus_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total.filter("word IS NOT NULL").select("word", "n"), total.filter("word IS NULL").select("code", "n")
 
 
-def _clean_token(token: str, rest: str) -> str:
-    if token[0] == "(" and (")" in rest or not token[1:]):
-        token = token[1:]
-    return token.rstrip("!(+")
-
-
 def _is_prose(block: str, usual: frozenset) -> bool:
     words = _PLAIN.findall(block.lower())
     if len(words) < 4:
@@ -125,6 +121,9 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
         kept = []
         for i, line in enumerate(lines):
             x = line.strip()
+            if not (x.isupper() or _DIGIT.search(x)):
+                kept.append(line)
+                continue
             before = lines[i - 1].strip() if i else (blocks[k - 1].strip() if k else "")
             after = lines[i + 1].strip() if i + 1 < len(lines) else (blocks[k + 1].strip() if k + 1 < len(blocks) else "")
             opens = bool(before) and not _TERMINAL.search(before)
@@ -155,12 +154,15 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
             if right[0].islower():
                 out.append(("broken", (left + right).lower(), f"{left}-{right}".lower() if mark == "-" else "", "", ""))
         body = _BROKEN.sub(lambda m: m.group(1) + m.group(3), body)
-        tokens = [(_clean_token(m.group(0), body[m.end() : m.end() + 60]), m.start()) for m in _TOKEN.finditer(body)]
-        tokens = [(t.lower(), at) for t, at in tokens if t]
-        for i, (t, _) in enumerate(tokens):
+        body = _PAIR.sub(r" \1 ", body.lower())  # an opening bracket that stays stands for a letter
+        tokens = _TOKEN.findall(body)
+        for i, t in enumerate(tokens):
+            if t in usual or len(t) < 2:
+                continue
+            t = t.rstrip("!(+")
             if len(t) < 2 or t in usual or t.isdigit() or _ROMAN.match(t) or not any(c.isalpha() for c in t):
                 continue
-            before, after = tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else ""
+            before, after = tokens[i - 1].rstrip("!(+") if i else "", tokens[i + 1].rstrip("!(+") if i + 1 < len(tokens) else ""
             # a 6 stands for b, ó or é
             for form in {skeleton(t), skeleton(t.replace("6", "o")), skeleton(t.replace("6", "e"))}:
                 out.append(("word", t, form, before, after))
