@@ -213,28 +213,28 @@ def similar(df: DataFrame, key: str, vec: str, kind: str, k: int = 5, min_cosine
 
 
 #: Queries of one block of the exact scan.
-SCAN_BLOCK = 4096
+SCAN_BLOCK, SCAN_ROWS = 4096, 1024
 
 
 def _scan(keys: list, kinds: list[str], unit: np.ndarray, k: int, dim: int):
     """First k rows of a batch for each query of a block, by exact cosines."""
 
+    def part(owner: np.ndarray, mine: np.ndarray, x: np.ndarray, others: pa.Array) -> pa.RecordBatch:
+        cos = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+        cos[owner[:, None] != mine[None, :]] = -2.0
+        n = min(k + 1, len(x))  # the query itself may be among them
+        least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(cos >= np.maximum(least, -1.5)[:, None])  # ties of the last place stay
+        return pa.RecordBatch.from_arrays([pa.array(owner[i], pa.string()), pa.array([keys[a] for a in i], others.type), others.take(pa.array(j)), pa.array(cos[i, j])], names=["kind", "query", "key", "cosine"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.array(kinds, dtype=object)
         for b in batches:
             rows, x = _matrix(b.column("v"), dim)
-            if not len(rows):
-                continue
-            cos = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
             mine = np.array(b.column("kind").take(pa.array(rows)).to_pylist(), dtype=object)
-            cos[owner[:, None] != mine[None, :]] = -2.0
-            n = min(k + 1, len(rows))  # the query itself may be among them
-            least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero(cos >= np.maximum(least, -1.5)[:, None])  # ties of the last place stay
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owner[i], pa.string()), pa.array([keys[a] for a in i]), b.column("key").take(pa.array(rows[j])), pa.array(cos[i, j])],
-                names=["kind", "query", "key", "cosine"],
-            )
+            others = b.column("key").take(pa.array(rows))
+            for at in range(0, len(rows), SCAN_ROWS):  # a matrix of bounded size at a time
+                yield part(owner, mine[at : at + SCAN_ROWS], x[at : at + SCAN_ROWS], others.slice(at, SCAN_ROWS))
 
     return run
 

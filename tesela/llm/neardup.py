@@ -292,3 +292,28 @@ def record_pairs(links: DataFrame, members: DataFrame, expand: int = EXPAND) ->
     star = sized.filter((F.col("copies") > expand) & (F.col("key") != F.col("head"))).select("kind", F.col("head").alias("ka"), F.col("key").alias("kb"))
     out = across.unionByName(inside).unionByName(star)
     return out.select("kind", F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
+
+
+def groups(links: DataFrame, members: DataFrame, most: int = 64) -> DataFrame:
+    """(kind, key, group_id, n_links) of every member: its group and the number of other classes that its class is linked to.
+
+    Groups are the connected components of the links. Labels sink along the links and then jump to the label of their label, so a
+    chain of n classes needs about log n rounds; a round is written before the next, and ``most`` only guards against a loop.
+    Without a link, a class is a group of its own. ``group_id`` is the smallest key of the group.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")))
+    for _ in range(most):
+        near = both.join(label.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("near"))
+        sunk = label.join(near, "a").select("a", F.col("low").alias("was"), F.least("low", "near").alias("low"))
+        jump = label.select(F.col("a").alias("low"), F.col("low").alias("lower"))
+        step = cut(sunk.join(jump, "low", "left").select("a", "was", F.least("low", F.coalesce("lower", "low")).alias("low")))
+        moved = step.filter("was != low").limit(1).count()
+        label = step.select("a", "low")
+        if not moved:
+            break
+    degree = both.groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("n_links"))
+    tied = members.join(label.select(F.col("a").alias("sid"), "low"), "sid", "left").join(degree, "sid", "left")
+    tied = tied.withColumn("low", F.coalesce("low", "sid"))
+    heads = tied.groupBy("kind", "low").agg(F.min("key").alias("group_id"))
+    return tied.join(heads, ["kind", "low"]).select("kind", "key", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -22,6 +22,13 @@ def _scan_records(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d, "rag_documents", "content").unionByName(records(spark, d, "document_paragraphs", "raw_content"))
 
 
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics, robust z-scores and verdict of every paragraph."""
+    from .quality import quality
+
+    return quality(table(spark, d, "document_paragraphs").select("id", "raw_content"), "id", "raw_content").dropDuplicates(["id"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .ocr import scan_damage
 
@@ -42,6 +49,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return record_pairs(links, members).withColumnRenamed("kind", "rec_table")
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every record that counts, and the number of links of its class."""
+    from .neardup import groups, near_duplicates
+
+    links, members = near_duplicates(_scan_records(spark, d), "rec_id", "text", "rec_table", similarity=0.6, n=3, least=20)
+    return groups(links, members).select(F.col("kind").alias("rec_table"), F.col("key").alias("id"), "group_id", "n_links")
+
+
 #: The size limits of the tables in characters.
 LIMITS = {"rag_documents": 6000, "document_parent_chunks": 3500, "document_paragraphs": 1200}
 TEXTS = {"rag_documents": "content", "document_parent_chunks": "content", "document_paragraphs": "raw_content"}
@@ -121,6 +136,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of its pieces."""
+    from .pack import byte_tokens, pack
+
+    return pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", byte_tokens(F.col("text")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .leak import leaked
 
@@ -133,6 +155,11 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return content_scores(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score, E-value and strongest passage of every document."""
+    return _scores(spark, d)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).filter("n_passages > 0").select("doc_id")
 
@@ -144,7 +171,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return content_rates(_scores(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------------------
 

@@ -64,6 +64,27 @@ def test_copies_stand_as_a_star(spark):
     assert neardup.record_pairs(*empty).count() == 0
 
 
+def test_groups_are_connected_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(20), 100 + rng.randrange(20)) for _ in range(15)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    links = spark.createDataFrame(edges, "a long, b long")
+    members = spark.createDataFrame([("t", f"k{i:03d}", i) for i in range(130)] + [("t", "k000b", 0)], "kind string, key string, sid long")
+    parent = {i: i for i in range(130)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.key: (r.group_id, r.n_links) for r in neardup.groups(links, members).collect()}
+    assert len(got) == 131 and all(got[f"k{i:03d}"][0] == f"k{root(i):03d}" for i in range(130))
+    assert got["k000b"] == ("k000", 1) and got["k129"] == ("k129", 0)
+    assert neardup.groups(links.limit(0), members).filter("n_links > 0").count() == 0
+
+
 def test_tree_join_equals_all_pairs():
     rng = np.random.default_rng(6)
     centers = rng.integers(0, 2**63, (6, 3), dtype=np.uint64)
