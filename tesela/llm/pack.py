@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITY = 4096
 
 
@@ -105,6 +107,8 @@ def pack(df: DataFrame, id_col: str, tokens: Column, capacity: int = CAPACITY, s
         .withColumn("bin0", F.concat_ws("-", F.col("shard").cast("string"), F.col("bin").cast("string")))
         .withColumnRenamed("__id", id_col)
     )
+    if rounds and shards > 1:
+        packed = cut(packed)  # read twice, and both must see the same bins
     cols = [id_col, "piece", "start_token", "n_tokens", "bin0"]
     fills = packed.groupBy("bin0").agg(F.sum("n_tokens").alias("fill"))
     if rounds and shards > 1:
