@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -217,24 +218,46 @@ SCAN_BLOCK, SCAN_ROWS = 4096, 1024
 
 
 def _scan(keys: list, kinds: list[str], unit: np.ndarray, k: int, dim: int):
-    """First k rows of a batch for each query of a block, by exact cosines."""
+    """First k rows of a task for each query of a block, by exact cosines; ties by key."""
 
-    def part(owner: np.ndarray, mine: np.ndarray, x: np.ndarray, others: pa.Array) -> pa.RecordBatch:
-        cos = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-        cos[owner[:, None] != mine[None, :]] = -2.0
-        n = min(k + 1, len(x))  # the query itself may be among them
+    def nearest(cos: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a matrix that can still be among the first k + 1 (the query itself may be one) of their query."""
+        n = min(k + 1, cos.shape[1])
         least = -np.partition(-cos, n - 1, axis=1)[:, n - 1]
-        i, j = np.nonzero(cos >= np.maximum(least, -1.5)[:, None])  # ties of the last place stay
-        return pa.RecordBatch.from_arrays([pa.array(owner[i], pa.string()), pa.array([keys[a] for a in i], others.type), others.take(pa.array(j)), pa.array(cos[i, j])], names=["kind", "query", "key", "cosine"])
+        return np.nonzero(cos >= np.maximum(np.maximum(least, known), -1.5)[:, None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.array(kinds, dtype=object)
+        known = np.full(len(keys), -1.5)
+        held: list[pd.DataFrame] = []
+        rows_held, key_type = 0, None
+
+        def first() -> pd.DataFrame:
+            every = pd.concat(held).drop_duplicates(["i", "key"]).sort_values(["i", "cos", "key"], ascending=[True, False, True])
+            return every.groupby("i", sort=False).head(k + 1)
+
         for b in batches:
             rows, x = _matrix(b.column("v"), dim)
+            others, key_type = b.column("key").take(pa.array(rows)).to_pandas().to_numpy(), b.column("key").type
             mine = np.array(b.column("kind").take(pa.array(rows)).to_pylist(), dtype=object)
-            others = b.column("key").take(pa.array(rows))
             for at in range(0, len(rows), SCAN_ROWS):  # a matrix of bounded size at a time
-                yield part(owner, mine[at : at + SCAN_ROWS], x[at : at + SCAN_ROWS], others.slice(at, SCAN_ROWS))
+                names = pd.MultiIndex.from_arrays([mine[at : at + SCAN_ROWS], others[at : at + SCAN_ROWS]])
+                use = at + np.flatnonzero(~names.duplicated())  # a row that is delivered twice takes one place
+                cos = np.round(unit @ (x[use] / np.linalg.norm(x[use], axis=1, keepdims=True)).T, 6)
+                cos[owner[:, None] != mine[None, use]] = -2.0
+                i, j = nearest(cos, known)
+                held.append(pd.DataFrame({"i": i, "cos": cos[i, j], "key": others[use[j]]}))
+                rows_held += len(i)
+                if rows_held > 4 * (k + 1) * len(keys) + 10_000:
+                    held = [first()]
+                    rows_held = len(held[0])
+                    full = held[0].groupby("i")["cos"].agg(["size", "min"])
+                    full = full[full["size"] > k]
+                    known[full.index.to_numpy()] = full["min"].to_numpy()
+        if rows_held:
+            out = first()
+            i = out["i"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(owner[i], pa.string()), pa.array([keys[a] for a in i], key_type), pa.array(out["key"].tolist(), key_type), pa.array(out["cos"].to_numpy())], names=["kind", "query", "key", "cosine"])
 
     return run
 
@@ -242,8 +265,8 @@ def _scan(keys: list, kinds: list[str], unit: np.ndarray, k: int, dim: int):
 def scan_top_k(df: DataFrame, queries: DataFrame, key: str, vec: str, kind: str, k: int = 5, block: int = SCAN_BLOCK) -> DataFrame:
     """(kind, query, key, cosine, rank): the k most similar rows of a stated set of queries, by exact cosines over all rows.
 
-    Queries go in blocks of ``block``, which the driver sends to the tasks one after another; each task gives the first of its
-    batches. The rules for vectors and copies are those of ``similar``; a query is no neighbour of itself.
+    Queries go in blocks of ``block``, which the driver sends to the tasks one after another; each task gives the first k of
+    its rows for each query. The rules for vectors and copies are those of ``similar``; a query is no neighbour of itself.
     """
     cols = [F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(vec).cast("array<float>").alias("v")]
     rows = df.select(*cols).filter("v IS NOT NULL")

@@ -182,6 +182,22 @@ def test_copies_of_a_vector(spark):
     assert got == brute({f"c{i:03d}": v for i in range(200)}, 5, 0.9)
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_scan_equals_brute_force(spark, block, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, (300, 6)).astype(np.float32)  # many ties
+    x[x.any(axis=1) == 0] = 1
+    rows = [("t", f"v{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:40] + [("u", "v000", x[0].tolist()), ("t", "v998", None)], "kind string, id string, v array<float>").repartition(3)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 6)
+    want = {(f"v{i:03d}", f"v{j:03d}") for i in range(0, 300, 29) for j in sorted((j for j in range(300) if j != i), key=lambda j: (-cos[i, j], j))[:5]}
+    asked = df.filter(F.substring("id", 2, 3).cast("int") % 29 == 0)
+    got = knn.scan_top_k(df, asked, "id", "v", "kind", block=block).filter("kind = 't'").collect()
+    assert {(r.query, r.key) for r in got} == want and len(got) == len(want)
+    assert knn.scan_top_k(df, asked.limit(0), "id", "v", "kind").count() == 0
+
+
 def test_recall_on_the_test_tables(spark):
     sf = "/root/testdata/sf0.01"
     got = {tuple(r) for r in queries.p6_found(spark, sf).collect()}
