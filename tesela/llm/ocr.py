@@ -28,6 +28,8 @@ from .quality import COMMON
 FREQUENT = 100_000
 #: A word is usual from this count on.
 USUAL = 20
+#: A word is taken for a misreading where the right form is at least so many times as frequent, however often both occur.
+RATIO = 20
 
 # Glyphs that recognition confuses, each given by what it is made of or mistaken for.
 GLYPHS = {
@@ -102,15 +104,17 @@ def _is_prose(block: str, usual: frozenset) -> bool:
     return known >= 0.5 * len(words) and common >= 0.045 * len(words)
 
 
-def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str, str, str]]:
+def suspicions(text: str | None, usual: frozenset, passed: frozenset | None = None) -> list[tuple[str, str, str, str, str]]:
     """(what, wrong, right or other form, word before, word after) of the suspicious places of one text.
 
-    what: 'word' (a rare word in prose), 'broken' (a word broken across lines), 'page' (a line in the shape of a page number),
+    ``usual`` words make a block prose; the ``passed`` ones (by default the same) are above suspicion.
+    what: 'word' (any other word in prose), 'broken' (a word broken across lines), 'page' (a line in the shape of a page number),
     'header' (a line of capitals in a sentence), 'running' (a line with capitals and digits beside prose).
     """
     out = []
     if not text:
         return out
+    passed = usual if passed is None else passed
     blocks = _BLOCK.split(text)
     prose = [_is_prose(b, usual) for b in blocks]
     for k, block in enumerate(blocks):
@@ -157,10 +161,10 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
         body = _PAIR.sub(r" \1 ", body.lower())  # an opening bracket that stays stands for a letter
         tokens = _TOKEN.findall(body)
         for i, t in enumerate(tokens):
-            if t in usual or len(t) < 2:
+            if t in passed or len(t) < 2:
                 continue
             t = t.rstrip("!(+")
-            if len(t) < 2 or t in usual or t.isdigit() or _ROMAN.match(t) or not any(c.isalpha() for c in t):
+            if len(t) < 2 or t in passed or t.isdigit() or _ROMAN.match(t) or not any(c.isalpha() for c in t):
                 continue
             before, after = tokens[i - 1].rstrip("!(+") if i else "", tokens[i + 1].rstrip("!(+") if i + 1 < len(tokens) else ""
             # a 6 stands for b, ó or é
@@ -169,34 +173,50 @@ def suspicions(text: str | None, usual: frozenset) -> list[tuple[str, str, str,
     return out
 
 
-def _suspect(usual: frozenset):
+def _suspect(usual: frozenset, passed: frozenset):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(kind, key, *s) for kind, key, text in zip(pdf["kind"], pdf["key"], pdf["text"]) for s in suspicions(text, usual)]
+            rows = [(kind, key, *s) for kind, key, text in zip(pdf["kind"], pdf["key"], pdf["text"]) for s in suspicions(text, usual, passed)]
             yield pd.DataFrame(rows, columns=["kind", "key", "what", "wrong", "other", "before", "after"])
 
     return run
 
 
+def _only_accents(wrong: str, right: str) -> Column:
+    """Whether a word of letters differs from another in its accents alone, which is no mark of scanning."""
+    accents = ("áéíóúàèìòùâêôãõüñç", "aeiouaeiouaeoaounc")
+    return ~F.col(wrong).rlike(r"[^\p{L}]") & (F.translate(wrong, *accents) == F.translate(right, *accents))
+
+
+def usual_words(words: DataFrame) -> tuple[frozenset, frozenset]:
+    """The usual words, and those of them that are passed over: without the ones that have a form of the same skeleton at least
+    ``RATIO`` times as frequent, since a misreading that recurs grows with the corpus."""
+    common = words.filter(F.col("n") >= USUAL).withColumn("other", _skeleton_sql(F.col("word")))
+    right = common.select("other", F.col("word").alias("right"), F.col("n").alias("n_right"))
+    doubtful = common.join(right, "other").filter((F.col("n_right") >= RATIO * F.col("n")) & ~_only_accents("word", "right")).select("word", F.lit(True).alias("doubtful")).distinct()
+    top = common.join(doubtful, "word", "left").orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "doubtful").toArrow()
+    names = top.column("word").to_pylist()
+    return frozenset(names), frozenset(w for w, x in zip(names, top.column("doubtful").to_pylist()) if not x)
+
+
 def scan_damage(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(kind, key, what, wrong, right) of every damage found; rows of one key count once.
 
-    A rare word is misread where a form of the same skeleton is at least 20 times as frequent and, for words of up to 4 letters
+    A word is misread where a form of the same skeleton is at least 20 times as frequent and, for words of up to 4 letters
     or with a rival form, stands beside one of its neighbours elsewhere too. A word that is broken at a plain hyphen counts
     unless the hyphenated form is a word of its own. A masked page number counts from two records on, a running
     line from three; they must stand in prose. Null and empty texts, lists, tables and debris give nothing.
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     words, pairs = corpus_counts(rows)
-    top = words.filter(F.col("n") >= USUAL).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow().column("word").to_pylist()
-    found = cut(rows.mapInPandas(_suspect(frozenset(top)), "kind string, key string, what string, wrong string, other string, before string, after string").distinct())
+    found = cut(rows.mapInPandas(_suspect(*usual_words(words)), "kind string, key string, what string, wrong string, other string, before string, after string").distinct())
 
     # misread words
     rare = found.filter("what = 'word'").select("kind", "key", "wrong", "other", "before", "after")
     forms = words.filter(F.col("n") >= USUAL // 2).select(F.col("word").alias("right"), F.col("n").alias("n_right"), _skeleton_sql(F.col("word")).alias("other"))
     own = words.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"))
     kinds = rare.select("wrong", "other").distinct().join(forms, "other").filter("wrong != right").join(own, "wrong", "left")
-    kinds = kinds.filter(F.col("n_right") >= 20 * F.coalesce("n_wrong", F.lit(0))).select("wrong", "right", "n_right")
+    kinds = kinds.filter(F.col("n_right") >= RATIO * F.coalesce("n_wrong", F.lit(0))).select("wrong", "right", "n_right")
     asked = rare.join(kinds, "wrong")
     near = asked.withColumn("c", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("right").alias("b")), F.struct(F.col("right").alias("a"), F.col("after").alias("b"))))).select("wrong", "right", "c.a", "c.b").distinct()
     coded = near.mapInPandas(_codes, "wrong string, right string, a string, b string, code long").join(pairs, "code").select("wrong", "right", "a", "b", "n")
@@ -206,11 +226,7 @@ def scan_damage(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     support = F.coalesce("n_before", F.lit(0)) + F.coalesce("n_after", F.lit(0))
     best = Window.partitionBy("kind", "key", "wrong", "before", "after").orderBy(F.desc("support"), F.desc("n_right"), "right")
     chosen = scored.withColumn("support", support).withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    odd = F.col("wrong").rlike(r"[^\p{L}]")
-    # a lost accent alone is no mark of scanning
-    accents = ("áéíóúàèìòùâêôãõüñç", "aeiouaeiouaeoaounc")
-    accent_only = ~odd & (F.translate("wrong", *accents) == F.translate("right", *accents))
-    misread = chosen.filter(((F.col("support") > 0) | (F.length("wrong") > 4)) & ~accent_only).select("kind", "key", F.lit("word").alias("what"), "wrong", "right")
+    misread = chosen.filter(((F.col("support") > 0) | (F.length("wrong") > 4)) & ~_only_accents("wrong", "right")).select("kind", "key", F.lit("word").alias("what"), "wrong", "right")
 
     # words broken across lines
     broken = found.filter("what = 'broken'").select("kind", "key", "wrong", "other")

@@ -77,6 +77,16 @@ def test_scan_damage_and_repair(spark):
     assert ocr.scan_damage(df.limit(0), "key", "text", "kind").count() == 0
 
 
+def test_misreadings_that_recur_are_found_too(spark):
+    text = "El registro {} no podrá fijar el plazo sin la norma que corresponde y se dará {} al titular."
+    rows = [("t", f"c{i}", text.format("de la oficina", "traslado")) for i in range(600)]
+    rows += [("t", f"w{i}", text.format("de la oficina", "traslaclo")) for i in range(25)]
+    rows += [("t", f"s{i}", text.format("cle la oficina", "traslado")) for i in range(25)]
+    rows += [("t", f"u{i}", text.format("de la oficina", "fallo")) for i in range(100)] + [("t", f"v{i}", text.format("de la oficina", "tallo")) for i in range(25)]
+    found = {(r.key, r.wrong, r.right) for r in ocr.scan_damage(spark.createDataFrame(rows, "kind string, key string, text string"), "key", "text", "kind").collect()}
+    assert found == {(f"w{i}", "traslaclo", "traslado") for i in range(25)} | {(f"s{i}", "cle", "de") for i in range(25)}
+
+
 def test_skeleton_as_expression(spark):
     words = ["clará", "dará", "rnódulo", "módulo", "C0SA", "habrá", "liabrá", "vvalter", "último", "sera`"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
