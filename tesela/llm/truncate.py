@@ -85,7 +85,7 @@ def look_at_end(text: str | None) -> tuple[str, str, str]:
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         seen = [look_at_end(t) for t in pdf["text"]]
-        yield pd.DataFrame({"kind": pdf["kind"], "key": pdf["key"], "state": [s[0] for s in seen], "pattern": [s[1] for s in seen], "last_word": [s[2] for s in seen]})
+        yield pd.DataFrame({"kind": pdf["kind"], "key": pdf["key"], "value": pdf["value"], "state": [s[0] for s in seen], "pattern": [s[1] for s in seen], "last_word": [s[2] for s in seen]})
 
 
 def _whole_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,18 +132,21 @@ def truncated_answers(df: DataFrame, key: str, text: str, kind: str = "kind") ->
     """(kind, key, reason) of values that stop within a word or a sentence; one row per key and kind.
 
     Reasons: word (the last word is unknown elsewhere), sentence (no whole sentence elsewhere has the pattern), mark (a cut mark within a word or sentence), quote, prefix
-    (a longer copy goes on in the middle of a sentence). Null, blank and whole values give no row.
+    (a longer copy goes on in the middle of a sentence). Null, blank and whole values give no row. Words and patterns are counted over distinct
+    values, white space aside: copies of a value are no witnesses for it, so a value is judged alike however many copies it has.
     """
     rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["kind", "key"])
-    ends = rows.mapInPandas(_ends, "kind string, key string, state string, pattern string, last_word string").filter("state NOT IN ('whole', 'empty')")
-    patterns = rows.select("text").mapInPandas(_whole_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n_pattern"))
+    rows = rows.withColumn("value", F.xxhash64(squeezed(F.col("text"))))
+    values = rows.groupBy("value").agg(F.min("text").alias("text")).select("text")
+    ends = rows.mapInPandas(_ends, "kind string, key string, value long, state string, pattern string, last_word string").filter("state NOT IN ('whole', 'empty')")
+    patterns = values.mapInPandas(_whole_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n_pattern"))
     # a word counts where something follows it in its value; one that ends a value without a full stop is no witness
     stopped = F.col("text").rlike(r"[\p{L}\p{N})”\"][.!?][\"”»’')\]]*\s*$")
     sure = F.when(stopped, F.col("text")).otherwise(F.regexp_replace("text", r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", ""))
     inner = F.regexp_extract_all(F.lower(sure), F.lit(r"(\p{L}+|\p{N}[\p{N}.,]*)"), 1)
-    known = rows.select(F.explode(inner).alias("last_word")).groupBy("last_word").agg(F.count("*").alias("n_word"))
+    known = values.select(F.explode(inner).alias("last_word")).groupBy("last_word").agg(F.count("*").alias("n_word"))
     # the prefix join of patterns: how often whole sentences go on from a pattern, against how often values end in it
-    ended = ends.filter("state = 'open'").groupBy("pattern").agg(F.count("*").alias("n_ended"))
+    ended = ends.filter("state = 'open'").groupBy("pattern").agg(F.count_distinct("value").alias("n_ended"))
     words = F.split("pattern", " ")
     starts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, 1, i), " "))
     heads = patterns.filter(F.size(words) > 1).select(F.explode(starts).alias("pattern"), "n_pattern")

@@ -106,6 +106,17 @@ def test_cut_answers(spark):
     assert truncate.truncated_answers(df.limit(0), "id", "answer").count() == 0
 
 
+def test_copies_of_a_cut_answer_are_no_witnesses(spark):
+    full = "La tasa comprende el registro, la oficina y el plazo. El titular no podrá fijar la norma en un plazo de 5 días."
+    cut = full + " El titular no podrá fijar la norma en un"
+    whole = [("a", f"w{i}", full.replace("tasa", w).replace("5", str(i))) for i, w in enumerate("tasa multa cuota deuda beca".split() * 4)]
+    ends = [("a", f"e{i}", f"No hay fuentes para la {w}") for i, w in enumerate("tasa multa cuota deuda beca".split())]
+    for n in (1, 3, 40):
+        df = spark.createDataFrame(whole + ends + [("a", f"cut{i}", cut + " " * (i % 3)) for i in range(n)], "kind string, id string, answer string")
+        got = {r.key: r.reason for r in truncate.truncated_answers(df, "id", "answer").collect()}
+        assert got == {f"cut{i}": "sentence" for i in range(n)}
+
+
 def test_cut_copies(spark):
     body = "Este es el contenido completo del párrafo que se copia en otro campo de la misma fila, con un final."
     rows = [("p", "whole", "Documento: x\n\nantes. " + body.replace(" se ", "\nse "), body), ("p", "cut", "Documento: x\n\nantes. " + body[:70] + "...", body), ("p", "early", "Documen", body), ("p", "null", None, body), ("p", "cut", "Documento: x\n\nantes. " + body[:70] + "...", body)]
