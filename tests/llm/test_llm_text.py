@@ -250,6 +250,23 @@ def test_content_scores_on_held_out_documents(spark):
     assert toxic.content_scores(docs.limit(0), labs).count() == 0
 
 
+def test_a_model_of_many_features_loses_none(spark):
+    rng = random.Random(4)
+    nouns = [a + b for a in "plaz registr tribut juzgad mercad titular puert bosqu".split() for b in "o a es illo eza".split()]
+    plain = lambda: f"El {rng.choice(nouns)} deberá fijar el {rng.choice(nouns)} ante el {rng.choice(nouns)} en un plazo de {rng.randrange(99)} días."
+    bad = ["sos una basura inmunda y nadie te soporta", "que se mueran esos inútiles de porquería", "te voy a romper la cara maldito cobarde"]
+    docs = spark.createDataFrame([(i, " ".join([plain(), bad[(i // 10) % 3] if i % 10 == 0 else plain(), plain()])) for i in range(400)] + [(900, None), (901, "")], "doc_id long, text string")
+    labs = spark.createDataFrame([(i, "abusive" if i % 10 == 0 else "ok") for i in range(200)], "doc_id long, label string")
+    marked = toxic.tokenized(docs, labs, "doc_id", "text").cache()
+    sent, joined = (toxic.fit(marked, labs, "doc_id", most=most) for most in (100_000, 20))
+    names = [f"w {f}" for f in sent.words] + [f"p {f}" for f in sent.pairs]
+    assert sent.table is None and {r.f: r.weight for r in joined.table.collect()} == pytest.approx(dict(zip(names, [*sent.words.values(), *sent.pairs.values()])))
+    want, got = ({r.doc_id: r for r in toxic.content_scores(docs, labs, most=most).collect()} for most in (100_000, 20))
+    assert len({k for k, r in got.items() if r.n_passages} & set(range(0, 400, 10))) >= 36 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k].score, got[k].log10_e) == pytest.approx((r.score, r.log10_e)) and (got[k].n_passages, got[k].passage) == (r.n_passages, r.passage)
+
+
 def test_registered_queries_have_the_stated_columns(spark, sf):
     want = {"p1_found": ["id"], "p2_found": ["rec_table", "rec_id"], "p3_found": ["rec_table", "id_a", "id_b"], "p4_found": ["rec_table", "rec_id"], "p5_found": ["rec_table", "rec_id"], "p6_found": ["rec_table", "id_a", "id_b"], "p7_found": ["doc_id"], "p8_found": ["doc_id", "item_id"], "p9_found": ["doc_id"]}
     for name, cols in want.items():
