@@ -106,9 +106,9 @@ def outline_table(df: DataFrame, key: str = "id", text: str = "content") -> Data
     """(document_id, start, level, rank, label) of the lines that open a level, by expressions only."""
     level = rank = label = None
     for name, number, pattern in st.LEVELS:
-        java = "(?iu)^" + pattern.pattern.replace(r"\Z", "$")
+        java = "(?iu)" + pattern.pattern
         hit = F.col("line").rlike(java)
-        found = F.trim(F.concat(F.lit(name.upper() + " "), F.upper(F.regexp_extract("line", java, 1))))
+        found = F.trim(F.concat(F.lit(name.upper() + " "), F.upper(F.regexp_extract("line", java, 1)))) if pattern.groups else F.lit(name.upper())
         level = F.when(hit, name) if level is None else level.when(hit, name)
         rank = F.when(hit, number) if rank is None else rank.when(hit, number)
         label = F.when(hit, found) if label is None else label.when(hit, found)

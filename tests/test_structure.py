@@ -98,3 +98,87 @@ def test_long_pieces_keep_the_limit_and_the_text(limit):
     text = "Una frase. Otra, más larga; y otra\nlínea " * 7
     pieces = st.long_pieces(text, limit)
     assert all(len(p.text) <= limit for p in pieces) and re.sub(r"\s", "", "".join(p.text for p in pieces)) == re.sub(r"\s", "", text)
+
+
+# --- expected rows, written by hand from the described behaviour ---------------------------------------------------------------
+
+NORM = "\n".join(
+    [
+        "LEY 27.541 - PRESUPUESTO.", "CONSIDERANDO que resulta necesario adecuar el marco fiscal.", "TITULO II - REGIMEN FISCAL.", "ARTICULO 1. - Objeto de la presente.",
+        "ARTICULO 2. - Facultades de la autoridad.", "TITULO III - DISPOSICIONES FINALES.", "ARTICULO 3. - Vigencia.", "ANEXO I", "Formulario de declaración jurada.",
+    ]
+)
+
+
+def test_articles_of_a_norm_row_by_row():
+    lines = NORM.split("\n")
+    assert [(p.start, p.text) for p in st.article_pieces(NORM)] == [
+        (0, "\n".join(lines[:2])), (NORM.index("TITULO II "), "\n".join(lines[2:4])), (NORM.index("ARTICULO 2"), lines[4]),
+        (NORM.index("TITULO III"), "\n".join(lines[5:7])), (NORM.index("ANEXO"), "\n".join(lines[7:])),
+    ]
+
+
+@pytest.mark.parametrize(
+    "text, starts",
+    [
+        ("TITULO II - FISCAL.\nCAPITULO III - IMPOSICION.\nARTICULO 14. - Uno.\nARTICULO 15. - Dos.", ["TITULO II", "ARTICULO 15"]),
+        ("ARTICULO 4. - Regla.\n\nTITULO V - PLAZOS.\nEl plazo corre.\n\nARTICULO 20. - Plazo.", ["ARTICULO 4", "TITULO V"]),
+        ("TITULO V - PLAZOS.\nEl plazo corre.\n\nARTICULO 20. - Plazo.", ["TITULO V", "ARTICULO 20"]),
+        ("ARTICULO 1. - Uno.\nTITULO I - A.\nTexto.\nTITULO II - B.\nARTICULO 2. - Dos.", ["ARTICULO 1", "TITULO II"]),
+        ("ANEXO A\nTabla.\nANEXO B\nOtra.", ["ANEXO A", "ANEXO B"]),
+        ("ARTICULO 1. - Uno.\nTITULO I - A.\nANEXO B\nOtra.", ["ARTICULO 1", "ANEXO B"]),
+    ],
+)
+def test_headings_go_with_the_article_below(text, starts):
+    pieces = st.article_pieces(text)
+    assert len(pieces) == len(starts) and all(p.text.startswith(s) for p, s in zip(pieces, starts))
+
+
+def test_contents_of_pages_row_by_row():
+    toc = ["LEY 27.541 - X.", "TITULO II .......... 5", "CAPITULO III ....... 6", "ARTICULO 14 ........ 7", "ARTICULO 15 ........ 8"]
+    text = "\n".join([*toc, "TITULO II - FISCAL.", "ARTICULO 14. - Uno.", "ARTICULO 15. - Dos."])
+    assert [p.text for p in st.article_pieces(text, pdf=True)] == ["\n".join(toc), "TITULO II - FISCAL.\nARTICULO 14. - Uno.", "ARTICULO 15. - Dos."]
+    short = "\n".join(["ARTICULO 1 ... 3", "ARTICULO 2 ... 4", "ARTICULO 3 ... 5", "ARTICULO 1. - Uno."])
+    assert st.contents_lines(short, st.outline(short)) == set()
+
+
+def test_structural_pieces_row_by_row():
+    text = "# Título\n\nARTÍCULO 1. Inicio.\n\nARTÍCULO 2. Siguiente."
+    assert [(p.text, text[p.start : p.end]) for p in st.structural_pieces(text, 2000)] == [(x, x) for x in text.split("\n\n")]
+    words = "UNO" * 50
+    assert [p.text for p in st.structural_pieces(words, 100)] == [words[:100], words[100:]]
+    soft = "Primero de todos.\n\nSegundo bloque.\n\nTercero."
+    assert [p.text for p in st.structural_pieces(soft, 35)] == ["Primero de todos.\n\nSegundo bloque.", "Tercero."]
+    assert [p.text for p in st.structural_pieces("OBJETO GENERAL:\nuna frase. otra frase. y otra más", 24)] == ["OBJETO GENERAL:", "una frase. otra frase.", "y otra más"]
+    assert len(st.structural_pieces(soft, 35, size_for=lambda s: 8)) > 3
+
+
+def test_blocks_and_long_pieces_row_by_row():
+    assert [p.text for p in st.grouped(["uno", "dos", "tres"], 8)] == ["uno\n\ndos", "tres"]
+    assert [p.text for p in st.grouped(["uno", "x" * 12, "dos"], 8)] == ["uno", "x" * 8, "x" * 4, "dos"]
+    assert [p.text for p in st.long_pieces("una línea\notra línea más", 15)] == ["una línea", "otra línea más"]
+    assert [p.text for p in st.long_pieces("Fin. Otra cosa", 9)] == ["Fin.", "Otra", "cosa"]
+
+
+def test_cleaned_text_and_its_map_row_by_row():
+    body, index = st.clean("A.\nB\n\nC.")
+    assert body == "A. B\n\nC." and [index[i] for i in (2, 3, 6)] == [2, 3, 6]
+    assert st.clean("perso-\nnales")[0] == "personales" and st.clean("personales\nasentados")[0] == "personales asentados"
+    kept = "ARTICULO 1. - Cuerpo.\na) inciso primero.\nb) inciso segundo."
+    assert st.clean(kept)[0] == kept
+
+
+def test_parents_and_children_row_by_row():
+    split, _ = st.split_document(NORM, st.LEGAL, overlap=10)
+    assert [p.text.split(" ")[0] for p in split.parents] == ["LEY", "TITULO", "ARTICULO", "TITULO", "ANEXO"]
+    assert [(p.first_child, p.last_child) for p in split.parents] == [(i, i) for i in range(5)]
+    assert split.children[2].path == "LEY 27.541 > TITULO II > ARTICULO 2" and split.children[2].extended.endswith(split.children[2].text)
+    plain, index = st.split_document(NORM, st.GENERIC)
+    assert index is None and all(c.path is None and c.extended is None for c in plain.children)
+    assert (st.GENERIC.parent_max, st.GENERIC.child_max, st.GENERIC.child_min) == (2500, 1000, 150)
+    assert (st.LEGAL.parent_max, st.LEGAL.child_max, st.LEGAL.child_min) == (3500, 1200, 150)
+
+
+def test_page_fragments_row_by_row():
+    text = "1. Índice\n2. Objeto\n-- 1 of 3 --\n\nARTÍCULO 1\nTexto del artículo que alcanza.\n2. La recolección de datos."
+    assert st.page_fragments(text) == ["2. Objeto\nARTÍCULO 1\nTexto del artículo que alcanza.", "2. La recolección de datos."]
