@@ -55,7 +55,7 @@ def page_rows(items: DataFrame) -> DataFrame:
     """Items with their row (``row_no``) and place in reading order: a greedy matching that walks sorted pages, one at a time."""
     cols = "document_id string, page int, item int, str string, x double, y double, width double, height double"
     narrow = items.select(*[c.split(" ")[0] for c in cols.split(", ")])
-    ordered = narrow.repartition("document_id").sortWithinPartitions("document_id", "page", "y", "x", "item")
+    ordered = narrow.repartition("document_id", "page").sortWithinPartitions("document_id", "page", "y", "x", "item")
     return ordered.mapInPandas(_rows, cols + ", row_no int, place int")
 
 

@@ -52,12 +52,12 @@ def few(queries: DataFrame) -> bool:
     return estimated_bytes(queries) <= QUERY_BYTES or queries.count() * QUERY_ROW_BYTES <= QUERY_BYTES
 
 
-def _hinted(df: DataFrame, queries: DataFrame | None) -> DataFrame:
+def hinted(df: DataFrame, queries: DataFrame | None) -> DataFrame:
     """``df`` holds a bounded number of rows for each query: it is broadcast where the queries are known to be few."""
     return F.broadcast(df) if queries is not None and few(queries) else df
 
 
-def _beside(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def beside(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Each chunk beside each query: a stated set of queries against all rows. A large set goes in blocks."""
     if few(queries):
         return chunks.join(F.broadcast(queries))
@@ -72,32 +72,49 @@ def top(df: DataFrame, by: list[Column], n: int, group: str = "query_id", rank:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def top_ids(df: DataFrame, by: list[Column], n: int, rank: str = "rank") -> DataFrame:
+    """First n ids of each query, rows delivered twice once.
+
+    ``by`` ends in the id, so equal ranks are the deliveries of one row: the ranked rows are made unique, not the table.
+    """
+    w = Window.partitionBy("query_id").orderBy(*by)
+    return df.withColumn(rank, F.dense_rank().over(w)).filter(F.col(rank) <= n).dropDuplicates(["query_id", "id"])
+
+
 def vector_ranking(chunks: DataFrame, queries: DataFrame, n: int, columns: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, distance, rank): the n nearest chunks; chunks without direction come last, null vectors not at all."""
     narrow = chunks.select("id", "embedding", *columns).filter(F.col("embedding").isNotNull())
-    near = _beside(narrow, queries.select("query_id", "query_vector"))
+    near = beside(narrow, queries.select("query_id", "query_vector"))
     scored = near.select("query_id", "id", *columns, F.round(vc.cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
-    return top(scored, [F.asc_nulls_last("distance"), F.asc("id")], n)
+    return top_ids(scored, [F.asc_nulls_last("distance"), F.asc("id")], n)
 
 
 def lexical_ranking(chunks: DataFrame, queries: DataFrame, n: int, text: str = "raw_content") -> DataFrame:
     """(query_id, id, score, rank): chunks that hold any term, by the number of positions that do."""
     terms = queries.select("query_id", tx.query_terms(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
     words = chunks.select("id", tx.tokens(F.col(text)).alias("words"))
-    met = _beside(words, terms).filter(F.arrays_overlap("words", "terms"))
+    met = beside(words, terms).filter(F.arrays_overlap("words", "terms"))
     scored = met.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score"))
-    return top(scored, [F.desc("score"), F.asc("id")], n)
+    return top_ids(scored, [F.desc("score"), F.asc("id")], n)
 
 
 def bm25_ranking(chunks: DataFrame, queries: DataFrame, n: int, text: str = "raw_content") -> DataFrame:
-    """(query_id, id, score, rank) by BM25: an inverted index of the query terms only, aggregated by term and chunk."""
+    """(query_id, id, score, rank) by BM25: an inverted index of the query terms only, aggregated by term and chunk.
+
+    The chunks' words are held against the terms as arrays, so only the words of queries are exploded. Ids must be unique here, since
+    the lengths and counts of all chunks weigh.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query_text")))).alias("term"))
+    vocabulary = terms.groupBy().agg(F.collect_set("term").alias("asked"))
     words = chunks.select("id", tx.tokens(F.col(text)).alias("words"))
     stats = words.agg(F.count("*").cast("double").alias("docs"), F.avg(F.size("words")).alias("mean"))
-    lengths = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    posting = lengths.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    lengths = words.select("id", F.size("words").alias("length"), "words")
+    if few(queries):
+        lengths = lengths.join(F.broadcast(vocabulary)).select("id", "length", F.filter("words", lambda w: F.array_contains(F.col("asked"), w)).alias("words"))
+    found = lengths.select("id", "length", F.explode("words").alias("term"))
+    posting = found.join(hinted(terms.select("term").distinct(), queries), "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    scored = posting.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))
+    scored = posting.join(hinted(df, queries), "term").join(hinted(terms, queries), "term").join(F.broadcast(stats))  # stats: one row
     part = tx.bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("mean"))
     return top(scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), [F.desc("score"), F.asc("id")], n)
 
@@ -114,8 +131,8 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int = 60, key: str = "id",
 def article_hits(chunks: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
     """(query_id, id) of chunks that name the article of the query, at most n a query, by id."""
     asked = queries.select("query_id", tx.article_number(F.col("query_text")).alias("number")).filter("number IS NOT NULL")
-    met = _beside(chunks.select("id", "raw_content"), asked).filter(tx.names_article(F.col("raw_content"), F.col("number")))
-    return top(met.select("query_id", "id"), [F.asc("id")], n).select("query_id", "id")
+    met = beside(chunks.select("id", "raw_content"), asked).filter(tx.names_article(F.col("raw_content"), F.col("number")))
+    return top_ids(met.select("query_id", "id"), [F.asc("id")], n).select("query_id", "id")
 
 
 def hybrid_ranking(chunks: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
@@ -133,10 +150,13 @@ def hybrid_ranking(chunks: DataFrame, queries: DataFrame, o: Options = Options()
 
 
 def with_chunks(ranking: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """Ranking rows with the columns of their chunk and its document; ranked rows of few queries are sent to the chunks."""
+    """Ranking rows with the columns of their chunk and its document; ranked rows of few queries are sent to the chunks.
+
+    Chunks delivered twice give one row.
+    """
     cols = ["id", "document_id", "paragraph_index", "raw_content", "contextualized_text", "parent_chunk_id"]
     docs = documents.select(F.col("id").alias("document_id"), F.col("title").alias("doc_title"), "r2_key", "r2_url")
-    return chunks.select(*cols).join(_hinted(ranking, queries), "id").join(docs, "document_id")
+    return chunks.select(*cols).join(hinted(ranking, queries), "id").dropDuplicates(["query_id", "id"]).join(docs, "document_id")
 
 
 def hybrid_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, o: Options = Options(), doc_ids: list[str] | None = None) -> DataFrame:
@@ -153,13 +173,13 @@ def document_ranking(documents: DataFrame, queries: DataFrame, n: int = 5) -> Da
 def two_stage_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:
     """Documents first, then the chunks of these documents only, for each query by itself."""
     docs = document_ranking(documents, queries, o.top_docs).select("query_id", F.col("id").alias("document_id"))
-    inside = chunks.select("id", "document_id", "raw_content", "embedding").join(_hinted(docs, queries), "document_id")
+    inside = chunks.select("id", "document_id", "raw_content", "embedding").join(hinted(docs, queries), "document_id")
     n = o.limit * o.candidate_multiplier
-    both = inside.join(_hinted(queries, queries), "query_id")
+    both = inside.join(hinted(queries, queries), "query_id")
     near = both.filter("embedding IS NOT NULL").select("query_id", "id", F.round(vc.cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
-    vectors = top(near, [F.asc_nulls_last("distance"), F.asc("id")], n)
+    vectors = top_ids(near, [F.asc_nulls_last("distance"), F.asc("id")], n)
     words = both.select("query_id", "id", tx.tokens(F.col("raw_content")).alias("words"), tx.query_terms(F.col("query_text")).alias("terms")).filter(F.arrays_overlap("words", "terms"))
-    lexical = top(words.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score")), [F.desc("score"), F.asc("id")], n)
+    lexical = top_ids(words.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score")), [F.desc("score"), F.asc("id")], n)
     fused = fuse([(vectors, o.vector_weight), (lexical, o.lexical_weight)], o.k)
     ranked = top(fused.select("query_id", "id", F.round("rrf", 9).alias("hybrid_score")), [F.desc("hybrid_score"), F.asc("id")], o.limit)
     return with_chunks(ranked, chunks, documents, queries)
@@ -187,9 +207,9 @@ def score_map(chunks: DataFrame, queries: DataFrame, n: int = 1000) -> DataFrame
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, similarity, rank) where zero vectors are at similarity 0: the in-memory ranking of the evaluation."""
-    near = _beside(rows.select("id", "embedding").filter("embedding IS NOT NULL"), queries.select("query_id", "query_vector"))
+    near = beside(rows.select("id", "embedding").filter("embedding IS NOT NULL"), queries.select("query_id", "query_vector"))
     scored = near.select("query_id", "id", F.round(vc.cosine_or_zero(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"))
-    return top(scored, [F.desc("similarity"), F.asc("id")], k)
+    return top_ids(scored, [F.desc("similarity"), F.asc("id")], k)
 
 
 def overlap(a: DataFrame, b: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:

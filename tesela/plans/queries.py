@@ -49,18 +49,20 @@ def _evals(s: SparkSession, d: str) -> DataFrame:
     return inv.unique(table(s, d, "query_evaluations"))
 
 
-CHUNK = ("document_id", "paragraph_index", "raw_content", "contextualized_text", "embedding", "parent_chunk_id")
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """Paragraphs as they were delivered; searches make their candidates unique instead of the table."""
+    return table(s, d, "document_paragraphs")
 
 
-def _queries(s: SparkSession, d: str, n: int = 5) -> DataFrame:
-    """The stated query set: the first n documents by id, their title with an article and their vector."""
-    first = _docs(s, d).select("id", "title", "embedding_base").orderBy("id").limit(n)
-    return first.select(F.col("id").alias("query_id"), F.concat("title", F.lit(" artículo 5 y multa")).alias("query_text"), F.col("embedding_base").alias("query_vector"))
+def _queries(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every document whose hashed id is divisible by 50, its title with an article and its vector."""
+    asked = _docs(s, d).select("id", "title", "embedding_base").filter(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 50 == 0)
+    return asked.select(F.col("id").alias("query_id"), F.concat("title", F.lit(" artículo 5 y multa")).alias("query_text"), F.col("embedding_base").alias("query_vector"))
 
 
 P = "p AS (SELECT * FROM document_paragraphs QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at) = 1)"
 E = "e AS (SELECT * FROM query_evaluations QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at) = 1)"
-Q = "q AS (SELECT id AS query_id, title || ' artículo 5 y multa' AS query_text, embedding_base::DOUBLE[] AS qv FROM rag_documents ORDER BY id LIMIT 5)"
+Q = "q AS (SELECT id AS query_id, title || ' artículo 5 y multa' AS query_text, embedding_base::DOUBLE[] AS qv FROM rag_documents WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0)"
 
 
 def _norm(a: str) -> str:
@@ -119,25 +121,25 @@ HYBRID_CTES = ", ".join([P, Q, _vec(60), _lex(60), _fused(), EXACT, HYBRID, WITH
 
 @query(f"WITH {HYBRID_CTES} SELECT h.query_id, h.id, hybrid_score, rank, d.title AS doc_title, p.paragraph_index FROM h JOIN p USING (id) JOIN rag_documents d ON d.id = p.document_id")
 def hybrid_search(s, d):
-    found = rt.hybrid_search(_paras(s, d, *CHUNK), _docs(s, d), _queries(s, d))
+    found = rt.hybrid_search(_chunks(s, d), _docs(s, d), _queries(s, d))
     return found.select("query_id", "id", "hybrid_score", "rank", "doc_title", "paragraph_index")
 
 
 @query(f"WITH {P}, {Q}, {_vec(60)} SELECT query_id, id, distance, rank FROM v")
 def vector_topk(s, d):
-    return rt.vector_ranking(_paras(s, d, "embedding"), _queries(s, d), 60)
+    return rt.vector_ranking(_chunks(s, d), _queries(s, d), 60)
 
 
 @query(f"WITH {P}, {Q}, i AS (SELECT id FROM rag_documents ORDER BY created_at, id LIMIT 20), {_vec(60, 'AND c.document_id IN (SELECT id FROM i)')} SELECT query_id, id, distance, rank FROM v")
 def vector_topk_filtered(s, d):
     ids = _docs(s, d).select("id", "created_at").orderBy("created_at", "id").limit(20).select(F.col("id").alias("document_id"))
-    inside = _paras(s, d, "document_id", "embedding").join(F.broadcast(ids), "document_id", "left_semi")
+    inside = _chunks(s, d).select("id", "document_id", "embedding").join(F.broadcast(ids), "document_id", "left_semi")
     return rt.vector_ranking(inside, _queries(s, d), 60)
 
 
 @query(f"WITH {P}, {Q}, {_lex(60)} SELECT query_id, id, score, rank FROM l")
 def lexical_topk(s, d):
-    return rt.lexical_ranking(_paras(s, d, "raw_content"), _queries(s, d), 60)
+    return rt.lexical_ranking(_chunks(s, d), _queries(s, d), 60)
 
 
 @query(
@@ -153,12 +155,12 @@ def bm25_topk(s, d):
 
 @query(f"WITH {P}, {Q}, {EXACT} SELECT query_id, id FROM x")
 def article_boost(s, d):
-    return rt.article_hits(_paras(s, d, "raw_content"), _queries(s, d))
+    return rt.article_hits(_chunks(s, d), _queries(s, d))
 
 
 @query(f"WITH {P}, {Q}, {_vec(20)} SELECT 'all' AS conversation_id, id, hybrid_score, row_number() OVER (ORDER BY hybrid_score DESC, id) AS rank FROM (SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 9) AS hybrid_score FROM v GROUP BY id) QUALIFY rank <= 20")
 def rrf_multi_query(s, d):
-    ranked = rt.vector_ranking(_paras(s, d, "embedding"), _queries(s, d), 20)
+    ranked = rt.vector_ranking(_chunks(s, d), _queries(s, d), 20)
     return rt.multi_query(ranked.withColumn("conversation_id", F.lit("all")))
 
 
@@ -170,13 +172,13 @@ def rrf_multi_query(s, d):
     + f", {_fused()} SELECT query_id, id, hybrid_score, rank, title AS doc_title FROM (SELECT query_id, id, round(rrf, 9) AS hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS rank FROM f QUALIFY rank <= 20) JOIN p USING (id) JOIN rag_documents d ON d.id = p.document_id"
 )
 def two_stage(s, d):
-    found = rt.two_stage_search(_paras(s, d, *CHUNK), _docs(s, d), _queries(s, d))
+    found = rt.two_stage_search(_chunks(s, d), _docs(s, d), _queries(s, d))
     return found.select("query_id", "id", "hybrid_score", "rank", "doc_title")
 
 
 @query(f"WITH {P}, {Q}, {_vec(1000)} SELECT query_id, v.id, document_id, round(greatest(0.0::DOUBLE, 1 - distance / 2), 7) AS score, rank FROM v JOIN p ON p.id = v.id")
 def score_map(s, d):
-    return rt.score_map(_paras(s, d, "document_id", "embedding"), _queries(s, d))
+    return rt.score_map(_chunks(s, d), _queries(s, d))
 
 
 @query(
@@ -188,7 +190,7 @@ def overlap_at_k(s, d):
     """Ranking by cosine against ranking by inner product."""
     docs = _docs(s, d).select("id", F.col("embedding_base").alias("embedding"))
     a = rt.vector_ranking(docs, _queries(s, d), 10)
-    near = docs.filter("embedding IS NOT NULL").join(F.broadcast(_queries(s, d).select("query_id", "query_vector")))
+    near = rt.beside(docs.filter("embedding IS NOT NULL"), _queries(s, d).select("query_id", "query_vector"))
     scored = near.select("query_id", "id", F.round(vc.dot(F.col("embedding"), F.col("query_vector")), 6).alias("s"))
     return rt.overlap(a, rt.top(scored, [F.desc("s"), F.desc("id")], 10))
 
@@ -202,7 +204,7 @@ def exact_topk(s, d):
 
 
 def _hybrid_rows(s, d):
-    return rt.hybrid_search(_paras(s, d, *CHUNK), _docs(s, d), _queries(s, d))
+    return rt.hybrid_search(_chunks(s, d), _docs(s, d), _queries(s, d))
 
 
 @query(f"WITH {HYBRID_CTES} SELECT query_id, id, hybrid_score, rank AS final_rank FROM hd WHERE rank <= 7")
@@ -258,10 +260,10 @@ def adjacent_after(s, d):
     "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list, rank, id) AS place FROM o QUALIFY place <= 20"
 )
 def merge_dedup(s, d):
-    chunks, q = _paras(s, d, "document_id", "paragraph_index", "raw_content", "embedding"), _queries(s, d)
+    chunks, q = _chunks(s, d), _queries(s, d)
     place = chunks.select("id", "document_id", "paragraph_index")
-    a = place.join(F.broadcast(rt.vector_ranking(chunks, q, 15).select("query_id", "id", "rank")), "id")
-    b = place.join(F.broadcast(rt.lexical_ranking(chunks, q, 15).select("query_id", "id", "rank")), "id")
+    a = place.join(rt.hinted(rt.vector_ranking(chunks, q, 15).select("query_id", "id", "rank"), q), "id")
+    b = place.join(rt.hinted(rt.lexical_ranking(chunks, q, 15).select("query_id", "id", "rank"), q), "id")
     return cx.merge_sources(a, b).select("query_id", "id", "place")
 
 
@@ -507,12 +509,11 @@ def strategy_score(s, d):
     return rows.withColumn("strategy", tx.strategy(F.col("score")))
 
 
-def _duck_says(wording) -> str:
-    body = "|".join(wording).replace("'", "''")
-    return f"regexp_matches(t, '(?:^|[^A-Za-z0-9_])(?:{body})(?:[^A-Za-z0-9_]|$)')"
+def _duck_says(wording: str) -> str:
+    return f"regexp_matches(t, '(?i){wording}')"
 
 
-@query(f"WITH {E}, z AS (SELECT id, lower(trim(query_text)) AS t FROM e) SELECT id, CASE WHEN t = '' THEN 'ask' WHEN {_duck_says(tx.LIST_WORDING)} THEN 'list_docs' WHEN {_duck_says(tx.CONTENT_WORDING)} THEN 'rag' WHEN {_duck_says(tx.CHAT_WORDING)} THEN 'chat' ELSE 'ask' END AS intent FROM z")
+@query(f"WITH {E}, z AS (SELECT id, trim(query_text) AS t FROM e) SELECT id, CASE WHEN t = '' THEN 'ask' WHEN {_duck_says(tx.LIST_WORDING)} THEN 'list_docs' WHEN {_duck_says(tx.CONTENT_WORDING)} THEN 'rag' WHEN {_duck_says(tx.CHAT_WORDING)} THEN 'chat' ELSE 'ask' END AS intent FROM z")
 def intent_class(s, d):
     return _evals(s, d).select("id", tx.intent(F.col("query_text")).alias("intent"))
 
@@ -552,17 +553,26 @@ def line_offsets(s, d):
 
 
 
-def _outline_sql() -> str:
-    from ..functions.structure import LEVELS
+#: The levels once more, as DuckDB reads them.
+_LEVEL_SQL = (
+    ("ley", 1, "(?:ley|decreto-ley)\\s+(?:n[°º]\\.?\\s*)?([0-9]+(?:\\.[0-9]+)*|[ivxlcdm]+)"),
+    ("decreto", 2, "decreto\\s+(?:n[°º]\\.?\\s*)?([0-9]+(?:\\.[0-9]+)*|[ivxlcdm]+)"),
+    ("titulo", 3, "t[ií]tulo\\s+([ivxlcdm]+|[0-9]+)"),
+    ("capitulo", 4, "(?:cap[ií]tulo|cap\\.)\\s+([ivxlcdm]+|[0-9]+)"),
+    ("seccion", 5, "secci[oó]n\\s+([ivxlcdm]+|[0-9]+)"),
+    ("seccion", 5, "disposicion(?:es|e)()"),
+    ("anexo", 6, "anexo\\s+([ivxlcdm]+|[0-9]+|[a-zà-ÿ]{1,3})(?:[\\s.:-]|$)"),
+    ("articulo", 6, "art(?:[ií]culo)?\\.?\\s+([0-9]+)"),
+    ("inciso", 7, "(?:inciso|numeral)\\s+([a-z0-9]+)"),
+)
 
-    level, rank, label = [], [], []
-    for name, number, pattern in LEVELS:
-        body = "(?i)^" + pattern.pattern.replace(r"\Z", "$").replace("[IÍ]", "[IÍí]").replace("[OÓ]", "[OÓó]")
-        hit = f"WHEN regexp_matches(line, '{body}')"
-        level.append(f"{hit} THEN '{name}'")
-        rank.append(f"{hit} THEN {number}")
-        label.append(f"{hit} THEN trim('{name.upper()} ' || upper(regexp_extract(line, '{body}', 1)))")
-    return f"on_ AS (SELECT id, start, CASE {' '.join(level)} END AS level, CASE {' '.join(rank)} END AS rank, CASE {' '.join(label)} END AS label FROM ln)"
+
+def _outline_sql() -> str:
+    when = "WHEN regexp_matches(lower(line), '^{}') THEN "
+    level = " ".join(when.format(p) + f"'{name}'" for name, _, p in _LEVEL_SQL)
+    rank = " ".join(when.format(p) + str(number) for _, number, p in _LEVEL_SQL)
+    label = " ".join(when.format(p) + f"trim('{name.upper()} ' || upper(regexp_extract(lower(line), '^{p}', 1)))" for name, _, p in _LEVEL_SQL)
+    return f"on_ AS (SELECT id, start, CASE {level} END AS level, CASE {rank} END AS rank, CASE {label} END AS label FROM ln)"
 
 
 @query(f"WITH {LINES}, {_outline_sql()} SELECT id AS document_id, start, level, rank, label FROM on_ WHERE level IS NOT NULL")
@@ -577,13 +587,13 @@ def _paths_sql() -> str:
     for r in range(1, 8):
         above = "greatest(-1, " + ", ".join(f"coalesce(s{q}, -1)" for q in range(1, r)) + ")" if r > 1 else "-1"
         parts.append(f"CASE WHEN s{r} > {above} THEN l{r} END")
-    return f"pl AS (SELECT DISTINCT id, start AS place FROM ln WHERE no % 5 = 0), ag AS (SELECT pl.id, pl.place, {last}, {named} FROM pl LEFT JOIN (SELECT * FROM on_ WHERE level IS NOT NULL) n ON n.id = pl.id AND n.start <= pl.place GROUP BY pl.id, pl.place) SELECT id AS document_id, place, concat_ws(' > ', {', '.join(parts)}) AS context_path FROM ag"
+    return f"pl AS (SELECT DISTINCT id, start AS place FROM ln), ag AS (SELECT pl.id, pl.place, {last}, {named} FROM pl LEFT JOIN (SELECT * FROM on_ WHERE level IS NOT NULL) n ON n.id = pl.id AND n.start <= pl.place GROUP BY pl.id, pl.place) SELECT id AS document_id, place, concat_ws(' > ', {', '.join(parts)}) AS context_path FROM ag"
 
 
 @query(f"WITH {LINES}, {_outline_sql()}, {_paths_sql()}")
 def outline_paths(s, d):
-    """As-of lookup of the open ancestors at every fifth line."""
-    places = ck.lines(_docs(s, d)).filter("line_no % 5 = 0").select("document_id", F.col("start").alias("at"))
+    """As-of lookup of the open ancestors at every line."""
+    places = ck.lines(_docs(s, d)).select("document_id", F.col("start").alias("at"))
     return ck.paths_at(places, ck.outline_table(_docs(s, d))).withColumnRenamed("at", "place")
 
 
@@ -597,13 +607,15 @@ def boundary_lines(s, d):
 
 
 @query(
-    f"WITH {LINES}, b AS (SELECT id, start AS pos FROM ln WHERE trim(line) != '' AND ({_KINDS}) IS NOT NULL), c AS (SELECT id, start, length(line) AS chars FROM ln WHERE no % 7 = 0), "
-    "m AS (SELECT c.id, c.start, c.chars, min(abs(b.pos - c.start)) AS distance FROM c LEFT JOIN b ON b.id = c.id GROUP BY c.id, c.start, c.chars) "
+    f"WITH {P}, {LINES}, b AS (SELECT id, start AS pos FROM ln WHERE trim(line) != '' AND ({_KINDS}) IS NOT NULL), c AS (SELECT document_id AS id, id AS chunk, metadata.location.start_char AS start, length(raw_content) AS chars FROM p WHERE metadata.location.start_char IS NOT NULL AND document_id IN (SELECT id FROM rag_documents)), "
+    "m AS (SELECT c.id, c.chunk, c.start, c.chars, min(abs(b.pos - c.start)) AS distance FROM c LEFT JOIN b ON b.id = c.id GROUP BY ALL) "
     "SELECT id AS document_id, count(*) AS chunks, round(avg(chars), 2) AS avg_chars, max(chars) AS max_chars, round(avg(distance), 2) AS avg_distance, round(avg(CASE WHEN distance <= 1 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS on_boundary FROM m GROUP BY id"
 )
 def nearest_boundary(s, d):
+    """How far the stored chunks of each document begin from a boundary of its text."""
     marks = ck.boundary_table(_docs(s, d), kinds={"numbered", "item", "heading", "list"}).select("document_id", F.col("start").alias("at"))
-    pieces = ck.lines(_docs(s, d)).filter("line_no % 7 = 0").select("document_id", "start", F.length("line").alias("chars"), F.lit(None).cast("string").alias("context_path"))
+    found = _paras(s, d, "document_id", "metadata", "raw_content").join(_docs(s, d).select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    pieces = found.select("document_id", F.col("metadata.location.start_char").alias("start"), F.length("raw_content").alias("chars"), "metadata.context_path").filter("start IS NOT NULL")
     return ev.chunking_report(pieces, marks).drop("with_path")
 
 
@@ -633,11 +645,13 @@ def layout_flat_text(s, d):
 
 @query(
     f"WITH {LINES}, {ITEMS}, t AS (SELECT id, page, string_agg(str || chr(10), '' ORDER BY y) AS text FROM it GROUP BY ALL), z AS (SELECT id, page, length(regexp_replace(text, '\\s+$', '')) AS n FROM t), "
-    "sp AS (SELECT id, page, coalesce(sum(n + 2) OVER (PARTITION BY id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p0, n FROM z), c AS (SELECT id, i AS chunk_id, i * 700 AS a, i * 700 + 900 AS b FROM rag_documents, (SELECT unnest(range(4)) AS i)) "
+    "sp AS (SELECT id, page, coalesce(sum(n + 2) OVER (PARTITION BY id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p0, n FROM z), c AS (SELECT id, i AS chunk_id, i * 700 AS a, i * 700 + 900 AS b FROM (SELECT id, unnest(range((length(content) + 699) // 700)) AS i FROM rag_documents)) "
     "SELECT sp.id AS document_id, chunk_id::INT AS chunk_id, page::INT AS page, (greatest(a, p0) - p0)::BIGINT AS local_start, (least(b, p0 + n) - p0)::BIGINT AS local_end FROM c JOIN sp ON sp.id = c.id WHERE a < p0 + n AND b > p0"
 )
 def chunk_pages(s, d):
-    chunks = _docs(s, d).select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk_id"))
+    """Windows of 900 characters, one every 700, over the whole length of each text, on the pages they touch."""
+    last = F.floor((F.length("content") - 1) / 700).cast("int")
+    chunks = _docs(s, d).filter("content != ''").select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_id"))
     chunks = chunks.select("document_id", "chunk_id", (F.col("chunk_id") * 700).cast("long").alias("start"), (F.col("chunk_id") * 700 + 900).cast("long").alias("end"))
     return ly.pages_of_chunks(chunks, ly.page_texts(_items(s, d), sanitize=False))
 

@@ -23,6 +23,7 @@ def local_session(cpus: int | None = None, app: str = "tesela") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "6g"))
@@ -38,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, shared by all
-    executors. Only where that setting is missing (tests on one machine) a local folder is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, shared by all executors. Only a session on one machine may
+    lack that setting (tests): it gets a local folder. On a cluster its absence is an error, since no folder is known that all see.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
     return df.checkpoint(eager=True)
