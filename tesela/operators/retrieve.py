@@ -1,8 +1,8 @@
 """Retrieval: vector and lexical ranking, reciprocal rank fusion, hybrid, two-stage and multi-query search.
 
-All functions build one lazy plan. A chunk table has ``id, document_id, paragraph_index, raw_content, contextualized_text,
-embedding, parent_chunk_id``. Queries are a table (query_id, query_text, query_vector), so that many are answered by one plan;
-its size is checked before it is broadcast. Equal scores are ordered by id.
+All functions build one lazy plan, for which the query vectors are read first. A chunk table has ``id, document_id, paragraph_index,
+raw_content, contextualized_text, embedding, parent_chunk_id``. Queries are a table (query_id, query_text, query_vector), so that many
+are answered by one plan; its size is checked before it is broadcast. Equal scores are ordered by id.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vc
+from . import scan
 
 
 @dataclass(frozen=True)
@@ -84,8 +85,8 @@ def top_ids(df: DataFrame, by: list[Column], n: int, rank: str = "rank") -> Data
 def vector_ranking(chunks: DataFrame, queries: DataFrame, n: int, columns: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, distance, rank): the n nearest chunks; chunks without direction come last, null vectors not at all."""
     narrow = chunks.select("id", "embedding", *columns).filter(F.col("embedding").isNotNull())
-    near = beside(narrow, queries.select("query_id", "query_vector"))
-    scored = near.select("query_id", "id", *columns, F.round(vc.cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
+    near = scan.nearest(narrow, queries, n, columns)
+    scored = near.select("query_id", "id", *columns, F.round("distance", 6).alias("distance"))
     return top_ids(scored, [F.asc_nulls_last("distance"), F.asc("id")], n)
 
 
