@@ -1,6 +1,6 @@
 """Retrieval: vector and lexical ranking, reciprocal rank fusion, hybrid, two-stage and multi-query search.
 
-All functions build one lazy plan, for which the query vectors are read first. A chunk table has ``id, document_id, paragraph_index,
+All functions build one lazy plan, for which the queries' vectors and terms are read first. A chunk table has ``id, document_id, paragraph_index,
 raw_content, contextualized_text, embedding, parent_chunk_id``. Queries are a table (query_id, query_text, query_vector), so that many
 are answered by one plan; its size is checked before it is broadcast. Equal scores are ordered by id.
 """
@@ -94,8 +94,7 @@ def lexical_ranking(chunks: DataFrame, queries: DataFrame, n: int, text: str = "
     """(query_id, id, score, rank): chunks that hold any term, by the number of positions that do."""
     terms = queries.select("query_id", tx.query_terms(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
     words = chunks.select("id", tx.tokens(F.col(text)).alias("words"))
-    met = beside(words, terms).filter(F.arrays_overlap("words", "terms"))
-    scored = met.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score"))
+    scored = scan.counted(words, terms, n).select("query_id", "id", F.round(F.lit(0.1) * F.col("positions"), 6).alias("score"))
     return top_ids(scored, [F.desc("score"), F.asc("id")], n)
 
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tesela.functions import text as tx
 from tesela.functions import vectors as vc
 from tesela.operators import retrieve as rt
 from tesela.operators import scan
@@ -48,3 +49,20 @@ def test_the_filtered_ranking_makes_no_pairs(spark, sf):
     from tesela import catalog
 
     assert "NestedLoop" not in physical(catalog.QUERIES["vector_topk_filtered"](spark, sf))
+
+
+@pytest.mark.parametrize("n", [2, 7, 100])
+def test_counts_of_words_equal_the_pairs(spark, monkeypatch, n):
+    said = ["ley uno", "ley ley multa", "Artículo 5 y multa: artículo 5", "", None, "tasa 12", "sin nada", "ÁRBOL árbol 7"]
+    chunks = spark.createDataFrame([(f"c{i % 70:02}", said[i % 70 % len(said)]) for i in range(90)], "id string, raw_content string").repartition(3)
+    texts = ["artículo 5 y multa", "ley", "ley, tasa 12; multa", "árbol 7", "de la", "", None, *(f"ley {i}" for i in range(10))]
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query_id string, query_text string")
+    terms = queries.select("query_id", tx.query_terms(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
+    pairs = chunks.select("id", tx.tokens(F.col("raw_content")).alias("words")).crossJoin(F.broadcast(terms)).filter(F.arrays_overlap("words", "terms"))
+    scored = pairs.select("query_id", "id", F.round(tx.lexical_rank(F.col("words"), F.col("terms")), 6).alias("score"))
+    want = plain(rt.top_ids(scored, [F.desc("score"), F.asc("id")], n).collect())
+    got = rt.lexical_ranking(chunks, queries, n)
+    assert "NestedLoop" not in physical(got) and plain(got.collect()) == want and want
+    monkeypatch.setattr(scan, "BLOCK", 4)
+    monkeypatch.setattr(scan, "ROWS", 8)
+    assert plain(rt.lexical_ranking(chunks, queries, n).collect()) == want
