@@ -129,10 +129,15 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int = 60, key: str = "id",
 
 
 def article_hits(chunks: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
-    """(query_id, id) of chunks that name the article of the query, at most n a query, by id."""
+    """(query_id, id) of chunks that name the article of the query, at most n a query, by id.
+
+    Queries share numbers: the chunks are held against each number once.
+    """
     asked = queries.select("query_id", tx.article_number(F.col("query_text")).alias("number")).filter("number IS NOT NULL")
-    met = beside(chunks.select("id", "raw_content"), asked).filter(tx.names_article(F.col("raw_content"), F.col("number")))
-    return top_ids(met.select("query_id", "id"), [F.asc("id")], n).select("query_id", "id")
+    numbers = asked.select(F.col("number").alias("query_id")).distinct()
+    met = beside(chunks.select("id", "raw_content"), numbers).filter(tx.names_article(F.col("raw_content"), F.col("query_id")))
+    first = top_ids(met.select("query_id", "id"), [F.asc("id")], n).select(F.col("query_id").alias("number"), "id")
+    return asked.join(first, "number").select("query_id", "id").distinct()
 
 
 def hybrid_ranking(chunks: DataFrame, queries: DataFrame, o: Options = Options()) -> DataFrame:

@@ -66,3 +66,15 @@ def test_counts_of_words_equal_the_pairs(spark, monkeypatch, n):
     monkeypatch.setattr(scan, "BLOCK", 4)
     monkeypatch.setattr(scan, "ROWS", 8)
     assert plain(rt.lexical_ranking(chunks, queries, n).collect()) == want
+
+
+def test_an_article_is_looked_for_once(spark, monkeypatch):
+    said = ["según el artículo 5", "art. 55", "ART 5.", "nada", None, "artículo 7 y artículo 5"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(said)], "id string, raw_content string")
+    texts = ["multa artículo 5", "tasa art. 5", "artículo 7", "artículo 5", "sin número", None]
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query_id string, query_text string")
+    met = []
+    monkeypatch.setattr(rt, "beside", lambda a, b, f=rt.beside: met.append(b.count()) or f(a, b))
+    got = rt.article_hits(chunks, queries, 2)
+    assert met == [2]  # numbers, not queries
+    assert sorted(map(tuple, got.collect())) == sorted([("q2", "c5"), *((q, c) for q in ("q0", "q1", "q3") for c in ("c0", "c2"))])
