@@ -447,8 +447,9 @@ def graph_heat(s, d):
 
 @query(f"{EDGES}, {HEAT}, o AS (SELECT DISTINCT 'frag-' || id AS node FROM t WHERE normalized > 0.6 AND query_id = (SELECT min(query_id) FROM q)) SELECT g.*, g.to_id IN (SELECT node FROM o) AS visible FROM g")
 def edge_visibility(s, d):
-    first = _queries(s, d).agg(F.min("query_id").alias("query_id"))
-    heated = gr.heat(score_map(s, d).select("query_id", "id", "score").join(F.broadcast(first), "query_id", "left_semi"))
+    q = _queries(s, d)
+    first = q.join(F.broadcast(q.agg(F.min("query_id").alias("query_id"))), "query_id", "left_semi")  # the heat of one query is shown
+    heated = gr.heat(rt.score_map(_chunks(s, d), first).select("query_id", "id", "score"))
     return gr.visible_edges(graph_edges(s, d), heated)
 
 

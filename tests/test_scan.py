@@ -45,10 +45,28 @@ def test_nearest_equals_the_pairs(spark, monkeypatch, n):
     assert rt.vector_ranking(chunks, queries.limit(0), n).collect() == [] == rt.vector_ranking(chunks.limit(0), queries, n).collect()
 
 
-def test_the_filtered_ranking_makes_no_pairs(spark, sf):
+#: Queries by name, with how often each number of an article stands beside all chunks in their plan.
+WITHOUT_PAIRS = {
+    "vector_topk_filtered": 0,
+    "edge_visibility": 0,
+}
+
+
+@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+def test_plans_hold_no_pairs_of_queries_and_chunks(spark, sf, name):
     from tesela import catalog
 
-    assert "NestedLoop" not in physical(catalog.QUERIES["vector_topk_filtered"](spark, sf))
+    plan = physical(catalog.QUERIES[name](spark, sf))
+    assert "MapInArrow" in plan and plan.count("NestedLoopJoin") <= WITHOUT_PAIRS[name]
+
+
+def test_edges_are_lit_by_the_scan_of_one_query(spark, sf, monkeypatch):
+    from tesela import catalog
+
+    met = []
+    monkeypatch.setattr(scan, "nearest", lambda rows, q, *a, f=scan.nearest: met.append(q.count()) or f(rows, q, *a))
+    catalog.QUERIES["edge_visibility"](spark, sf)
+    assert met == [1]
 
 
 @pytest.mark.parametrize("n", [2, 7, 100])
