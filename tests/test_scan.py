@@ -49,6 +49,7 @@ def test_nearest_equals_the_pairs(spark, monkeypatch, n):
 WITHOUT_PAIRS = {
     "vector_topk_filtered": 0,
     "edge_visibility": 0,
+    "graph_heat": 0,
 }
 
 
