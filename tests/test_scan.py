@@ -50,6 +50,7 @@ WITHOUT_PAIRS = {
     "vector_topk_filtered": 0,
     "edge_visibility": 0,
     "graph_heat": 0,
+    "rrf_multi_query": 0,
 }
 
 
