@@ -51,6 +51,7 @@ WITHOUT_PAIRS = {
     "edge_visibility": 0,
     "graph_heat": 0,
     "rrf_multi_query": 0,
+    "merge_dedup": 0,
 }
 
 
