@@ -52,6 +52,7 @@ WITHOUT_PAIRS = {
     "graph_heat": 0,
     "rrf_multi_query": 0,
     "merge_dedup": 0,
+    "context_assembly": 2,
 }
 
 
