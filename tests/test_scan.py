@@ -53,6 +53,7 @@ WITHOUT_PAIRS = {
     "rrf_multi_query": 0,
     "merge_dedup": 0,
     "context_assembly": 2,
+    "parent_enrich": 2,
 }
 
 
