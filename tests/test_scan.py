@@ -54,6 +54,7 @@ WITHOUT_PAIRS = {
     "merge_dedup": 0,
     "context_assembly": 2,
     "parent_enrich": 2,
+    "rerank_hybrid": 1,
 }
 
 
