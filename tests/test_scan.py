@@ -55,6 +55,7 @@ WITHOUT_PAIRS = {
     "context_assembly": 2,
     "parent_enrich": 2,
     "rerank_hybrid": 1,
+    "rerank_blend": 1,
 }
 
 
